@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .simhash import op6_simhash
 from .substring_dedup import op4_substring_dedup
+from .toxicity import op8_toxicity
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_substring_dedup, op6_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_substring_dedup, op6_simhash, op8_toxicity)}
 ORACLE_SQL: dict[str, str] = {}
