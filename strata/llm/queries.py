@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import decontamination
 from .decontamination import op9_decontamination
+from .packing import op2_packing
 from .simhash import op6_simhash
 from .substring_dedup import op4_substring_dedup
 from .toxicity import op8_toxicity
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_substring_dedup, op6_simhash, op8_toxicity, op9_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_packing, op4_substring_dedup, op6_simhash, op8_toxicity, op9_decontamination)}
 ORACLE_SQL: dict[str, str] = {"op9_decontamination": decontamination.ORACLE_SQL}
