@@ -15,61 +15,93 @@ from __future__ import annotations
 
 import bisect
 import re
-import unicodedata
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, table
-from .tokens import CACHE, encode_parts, slices, tokenizer
+from .tokens import CACHE, slices, tokenizer
 
 #: Tokens of a sequence.
 LIMIT = 4096
 #: The id that ends each document.
 END = 1
 #: Combinations that one gap may try before its length waits for best fit.
-TRIES = 16
+TRIES = 64
 #: Parts that the pieces of one length are numbered in.
 PARTS = 256
 
 #: Texts whose words the tokenizer can be given in any company: for these characters both libraries lower-case and part alike.
-_PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-ž‐-‧€]*")
+_PIECES = re.compile(r"[^\W\d_]+|[0-9]|'(?:[stmd]|re|ve|ll)|(?:[^\s\w]|_)+")
+_PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xa9\xab-\xac\xae-\xb1\xb4-\xb8\xbb\xbf-ÿ‐-‧€]*")
 
 
 class Ids:
     """The ids of texts as bytes (unsigned, little-endian, 32 bits).
 
-    The tokenizer drops white space and never merges across it, so a text's ids
-    are those of its words one after the other; words met before are looked up.
-    Texts with other than plain characters, or with what may be a special token,
-    go to the tokenizer whole.
+    The tokenizer drops white space, cuts words into pieces and never merges
+    across pieces, so a text's ids are those of its words one after the other.
+    Each word is encoded once and kept as a place in one array of ids.  Texts
+    with other than plain characters, or with what may be a special token, go to
+    the tokenizer whole.
     """
 
     def __init__(self, path: str):
         self.tokenizer = tokenizer(path)
-        self.known: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        #: Whether an id ends a piece.
+        self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.last[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place: dict[str, int] = {"": 0}
+        self.bounds, self.ids = np.zeros(2, np.int64), np.zeros(0, "<u4")
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _learn(self, new: list[str], step: int = 500) -> None:
+        pieces = np.fromiter((1 if w.isalpha() else len(_PIECES.findall(w)) for w in new), np.int64, len(new))
+        ids, sizes = [self.ids], []
+        runs = [new[k : k + step] for k in range(0, len(new), step)]
+        for k, (run, e) in enumerate(zip(runs, self.tokenizer.encode_batch_fast([" ".join(run) for run in runs], add_special_tokens=False))):
+            own = np.array(e.ids, "<u4")
+            ends = np.flatnonzero(self.last[own])
+            to = np.cumsum(pieces[k * step : k * step + len(run)])
+            if len(ends) == to[-1]:
+                ids.append(own)
+                sizes.append(np.diff(np.r_[0, ends[to - 1] + 1]))
+            else:  # a piece that the vocabulary cannot spell
+                each = [np.frombuffer(self.whole(w), "<u4") for w in run]
+                ids += each
+                sizes.append(np.fromiter(map(len, each), np.int64, len(run)))
+        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
+        self.ids = np.concatenate(ids)
+        self.bounds = np.r_[self.bounds, self.bounds[-1] + np.cumsum(np.concatenate(sizes))]
+
     def of(self, texts: list[str | None]):
         for run in slices(texts):
-            words = [t.lower().split() if "<|" not in t and _PLAIN.fullmatch(t) and unicodedata.is_normalized("NFC", t) else None for t in run]
-            met = set().union(*[w for w in words if w])
-            new = list(met - self.known.keys())
-            if len(self.known) + len(new) > CACHE:  # the words of this run stay: the frequent ones are among them
-                self.known = {w: self.known[w] for w in met - set(new)}
-            at = 0
-            for ids, cut in zip(*encode_parts(self.tokenizer, new, " ")):
-                raw, low = ids.tobytes(), 0
-                for high in (4 * cut).tolist():
-                    self.known[new[at]] = raw[low:high]
-                    at, low = at + 1, high
-            for t, w in zip(run, words):
-                yield self.whole(t) if w is None else b"".join(map(self.known.__getitem__, w))
+            plain = ["<|" not in t and _PLAIN.fullmatch(t) is not None for t in run]
+            words = pc.ascii_split_whitespace(pc.utf8_lower(pa.array([t if p else "" for t, p in zip(run, plain)], pa.string())))
+            coded = words.values.dictionary_encode()
+            met = coded.dictionary.to_pylist()
+            if len(self.place) > CACHE:
+                self._forget()
+            new = [w for w in met if w not in self.place]
+            if new:
+                self._learn(new)
+            place = np.fromiter(map(self.place.__getitem__, met), np.int64, len(met))[coded.indices.to_numpy()]
+            size = self.bounds[place + 1] - self.bounds[place]
+            ends = np.cumsum(size)
+            flat = self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.bounds[place] - ends + size, size)].tobytes()
+            cuts = 4 * np.r_[0, ends][words.offsets.to_numpy()]
+            for t, p, a, b in zip(run, plain, cuts[:-1].tolist(), cuts[1:].tolist()):
+                yield flat[a:b] if p else self.whole(t)
 
 
 _made: dict[str, Ids] = {}
@@ -100,53 +132,51 @@ def _piece_rows(path: str, limit: int, end: int):
 
 def plan(counts: dict[int, int], limit: int = LIMIT) -> list[tuple[tuple[int, ...], int]]:
     """Templates (lengths in order, number of sequences) that use each length exactly as often as ``counts`` says."""
-    left = {n: c for n, c in counts.items() if c > 0}
-    if any(not 1 <= n <= limit for n in left):
+    if any(not 1 <= n <= limit for n, c in counts.items() if c > 0):
         raise ValueError("lengths are from 1 to the limit")
+    left = np.zeros(limit + 1, np.int64)
+    for n, c in counts.items():
+        left[n] = max(c, 0)
+    there = left > 0  # the index of single sums; pair and triple sums are read off it
     out: list[tuple[tuple[int, ...], int]] = []
 
-    def use(lengths: tuple[int, ...], most: int) -> int:
-        need = {n: lengths.count(n) for n in set(lengths)}
-        times = min([most, *(left.get(n, 0) // k for n, k in need.items())])
-        if times > 0:
+    def use(*lengths: int) -> bool:
+        need = {n: lengths.count(n) for n in lengths}
+        times = min(int(left[n]) // k for n, k in need.items())
+        if times:
             out.append((lengths, times))
             for n, k in need.items():
                 left[n] -= k * times
-                if not left[n]:
-                    del left[n]
-                    order.remove(n)
-        return times
-
-    order = sorted(left)
-    if left.get(limit):
-        use((limit,), left[limit])
-    for n in sorted(left, reverse=True):
-        tries = 0
-        while left.get(n) and tries < TRIES:
-            gap, before = limit - n, left[n]
-            if gap in left:
-                use((n, gap), left[n])
-            if not left.get(n):
-                break
-            for a in order[: bisect.bisect_right(order, gap // 2)][::-1]:  # pairs: a <= gap - a
-                if a in left and gap - a in left:
-                    tries += 1
-                    use((n, gap - a, a), left[n])
-                    if not left.get(n) or tries >= TRIES:
-                        break
-            if not left.get(n) or tries >= TRIES:
-                break
-            for a in order[: bisect.bisect_right(order, gap // 3)][::-1]:  # triples: a <= b <= gap - a - b
-                if not left.get(n) or tries >= TRIES:
-                    break
-                for b in order[bisect.bisect_left(order, a) : bisect.bisect_right(order, (gap - a) // 2)][::-1]:
-                    if a in left and b in left and gap - a - b in left:
-                        tries += 1
-                        use((n, gap - a - b, b, a), left[n])
-                        break
-            if left.get(n) == before:
-                break
-    return out + _best_fit(left, limit)
+                there[n] = left[n] > 0
+        return times > 0
+
+    def pairs(total: int, least: int = 1) -> np.ndarray:
+        """The shorter lengths, from ``least`` on, of the pairs that sum to ``total``; the longest first."""
+        half = total // 2
+        if half < least:
+            return np.zeros(0, np.int64)
+        return (np.flatnonzero(there[least : half + 1] & there[total - half : total - least + 1][::-1]) + least)[::-1]
+
+    def fill(n: int, tries: int) -> None:
+        gap = limit - n
+        if there[gap]:
+            use(n, gap)
+        for a in pairs(gap).tolist():
+            if not there[n] or not tries:
+                return
+            tries -= use(n, gap - a, a)
+        for a in np.flatnonzero(there[1 : gap // 3 + 1])[::-1].tolist():
+            for b in pairs(gap - a - 1, a + 1).tolist()[:1]:
+                if not there[n] or not tries:
+                    return
+                tries -= use(n, gap - a - 1 - b, b, a + 1)
+
+    if there[limit]:
+        use(limit)
+    for n in range(limit - 1, 0, -1):
+        if there[n]:
+            fill(n, TRIES)
+    return out + _best_fit({n: int(left[n]) for n in np.flatnonzero(there).tolist()}, limit)
 
 
 def _best_fit(left: dict[int, int], limit: int) -> list[tuple[tuple[int, ...], int]]:

@@ -4,12 +4,10 @@ from __future__ import annotations
 
 import os
 
-import numpy as np
-
 #: Strings that a table holds before it starts anew.
 CACHE = 600_000
 #: Characters of text handled at once.
-SLICE_CHARS = 1 << 21
+SLICE_CHARS = 1 << 23
 
 
 def tokenizer(path: str):
@@ -30,19 +28,3 @@ def slices(texts: list[str | None]):
             run, size = [], 0
     if run:
         yield run
-
-
-def encode_parts(tok, parts: list[str], lead: str, step: int = 200) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """The ids of ``step`` parts a time, and where each part's ids end in them.
-
-    One call encodes many parts, each after ``lead``, which starts a new word
-    for the tokenizer.  Callers pass only parts for which the tokenizer cuts the
-    joined text at every ``lead`` and changes no character's place.
-    """
-    runs = [parts[k : k + step] for k in range(0, len(parts), step)]
-    ids, cuts = [], []
-    for run, e in zip(runs, tok.encode_batch([lead.join(["", *run]) for run in runs], add_special_tokens=False)):
-        ids.append(np.array(e.ids, "<u4"))
-        ends = np.fromiter((b for _, b in e.offsets), np.int64, len(e.ids))
-        cuts.append(np.searchsorted(ends, np.cumsum(np.fromiter(map(len, run), np.int64, len(run)) + len(lead)), side="right"))
-    return ids, cuts
