@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, Scratch, table
+from .common import Scratch, table
 
 #: Template words of a window.
 WINDOW = 8
@@ -34,7 +34,7 @@ UNITS = (
 ).split()
 
 _NAME, _NUMBER, _UNIT, _POINT = "\x01", "\x02", "\x03", "\x04"
-_NAME_AT = r"(?<=[^.!?:… ] )(\p{Lu}\p{Ll}[\p{L}\p{N}]*)"
+_NAME_AT = r"(\p{Lu}(?<=[^.!?:…\x20\x09-\x0D][\x20\x09-\x0D].)\p{Ll}[\p{L}\p{N}]*)"
 _POINT_AT = r"(?<=\p{N})[.,:/](?=\p{N})"
 _NUMBER_AT = rf"(\p{{N}}[\p{{N}}{_POINT}]*)"
 
@@ -42,16 +42,14 @@ _NUMBER_AT = rf"(\p{{N}}[\p{{N}}{_POINT}]*)"
 def template(text: Column, values: bool = False) -> Column:
     """The text's template, its words parted by single blanks; with ``values``, each placeholder is followed by what it stands for."""
     own = "$1" if values else ""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " ")
-    t = F.regexp_replace(t, _NAME_AT, f"{_NAME}{own}")
-    t = F.lower(t)
-    t = F.regexp_replace(t, _POINT_AT, _POINT)
-    t = F.regexp_replace(t, _NUMBER_AT, f" {_NUMBER}{own} ")
-    t = F.regexp_replace(t, rf"[^\p{{L}}\p{{N}}%{_NAME}-{_POINT}]+", " ")
-    t = F.concat(t, F.lit(" "))
+    t = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), _NAME_AT, f"{_NAME}{own}"))
+    words = lambda t: F.regexp_replace(t, rf"[^\p{{L}}\p{{N}}%{_NAME}-{_POINT}]+", " ")
+    n = F.regexp_replace(F.regexp_replace(t, _POINT_AT, _POINT), _NUMBER_AT, f" {_NUMBER}{own} ")
+    n = F.concat(words(n), F.lit(" "))
     before = rf"({_NUMBER}[^ ]* +)" if values else rf"({_NUMBER} +)"
-    t = F.regexp_replace(t, rf"{before}({'|'.join(UNITS)}) ", f"$1{_UNIT}{'$2' if values else ''} ")
-    return F.trim(F.regexp_replace(t, " +", " "))
+    n = F.regexp_replace(n, rf"{before}({'|'.join(UNITS)}) ", f"$1{_UNIT}{'$2' if values else ''} ")
+    n = F.regexp_replace(n, " +", " ")
+    return F.trim(F.when(t.rlike(r"\p{N}"), n).otherwise(words(t)))  # few texts pay for the steps on numbers
 
 
 def _hashes(words: Column, window: int) -> Column:
@@ -141,9 +139,9 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql_template(text: str, values: bool) -> str:
     """The template in SQL; RE2 has no lookaround, so what may overlap is replaced twice."""
     own = (lambda k: f" || '\\{k}'") if values else lambda k: ""
-    t = f"regexp_replace(coalesce({text}, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g')"
+    t = f"coalesce({text}, '')"
     for _ in range(2):
-        t = f"regexp_replace({t}, '([^.!?:… ] )(\\p{{Lu}}\\p{{Ll}}[\\p{{L}}\\p{{N}}]*)', '\\1' || chr(1){own(2)}, 'g')"
+        t = f"regexp_replace({t}, '([^.!?:…\\x20\\x09-\\x0D][\\x20\\x09-\\x0D])(\\p{{Lu}}\\p{{Ll}}[\\p{{L}}\\p{{N}}]*)', '\\1' || chr(1){own(2)}, 'g')"
     t = f"lower({t})"
     for _ in range(2):
         t = f"regexp_replace({t}, '(\\p{{N}})[.,:/](\\p{{N}})', '\\1' || chr(4) || '\\2', 'g')"
