@@ -27,6 +27,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -157,7 +158,7 @@ def _window_rows(window: int, anchor: int):
 def _kept_rows(window: int, anchor: int):
     def rows(docs: pa.Table, notes: pa.Table) -> pa.Table:
         b = _Block(docs, notes, window, anchor)
-        heads = notes.filter(pa.compute.equal(notes.column("kind"), _HEAD))
+        heads = notes.filter(pc.equal(notes.column("kind"), _HEAD))
         told = {(i, s): bool(d) for i, s, d in zip(heads.column("a").to_pylist(), heads.column("at").to_pylist(), heads.column("dup").to_pylist())}
         own = b.ids[b.doc]
         repeat = np.zeros(len(b.h), bool)
