@@ -132,6 +132,13 @@ def flags(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, shar
     return out.select(F.col("d.doc_id"), F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), (-F.col("best.least")).alias("item_id"), F.col("best.share").alias("share"))
 
 
+def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE) -> DataFrame:
+    """The rows of ``documents`` that contain no benchmark item, whole."""
+    found = Scratch(documents.sparkSession).keep(contaminated(documents, benchmark, window, share).select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct())
+    of = (F.col("bad_hash") == F.xxhash64(F.coalesce("text", F.lit("")))) & F.col("bad_id").eqNullSafe(F.col("doc_id"))
+    return documents.join(_sent(found, found.count()), of, "left_anti")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flags(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

@@ -22,7 +22,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, table
@@ -68,7 +68,8 @@ def _fingerprint_rows(shingle: int):
     def rows(batches):
         for batch in batches:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fingerprints_of(texts, shingle).view(np.int64))], names=["doc_id", "fp"])
+            fps = pa.array(fingerprints_of(texts, shingle).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), fps], names=["doc_id", "text_hash", "fp"])
 
     return rows
 
@@ -162,20 +163,40 @@ def near_copies(documents: DataFrame, shingle: int = SHINGLE, distance: int = DI
     is the smallest of a group unless the group has no other.  Columns other
     than doc_id and text are not read.
 
-    Returns doc_id, fp long, component_id (the group's smallest doc_id).
+    Returns doc_id, text_hash, fp long, root long (the group's name),
+    component_id (the group's smallest doc_id).
     """
     if not 0 <= distance <= 3:
         raise ValueError("three of six segments agree only up to three differing bits")
     scratch = Scratch(documents.sparkSession)
-    marked = scratch.keep(documents.select("doc_id", "text").mapInArrow(_fingerprint_rows(shingle), "doc_id long, fp long"))
+    marked = scratch.keep(documents.select("doc_id", "text", _text_hash().alias("text_hash")).mapInArrow(_fingerprint_rows(shingle), "doc_id long, text_hash long, fp long"))
     fps = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     index = _index(fps.select("fp"), hot)
     edges = index.repartition("key").sortWithinPartitions("key").mapInArrow(_edge_rows(distance), "a long, b long")
     roots = connected(edges, scratch)
     member = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     component = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = member.join(component, "root").select("fp", "component_id")
-    return marked.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    of_fp = member.join(component, "root").select("fp", "root", "component_id")
+    return marked.join(of_fp, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+
+
+def _text_hash():
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def one_of_each(documents: DataFrame) -> DataFrame:
+    """The row of the smallest id of each group of near copies, whole; of several such rows, one. A null id gives way to any other."""
+    scratch = Scratch(documents.sparkSession)
+    found = scratch.keep(near_copies(documents))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    first = scratch.keep(found.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash")))
+    of = (F.col("first_hash") == _text_hash()) & F.col("first_id").eqNullSafe(F.col("doc_id"))
+    kept = documents.join(first, of, "left_semi")
+    repeated = found.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count()
+    if not repeated:  # rows of one id and text, of which one stays, are rare; only then are the kept texts dealt out by them
+        return kept
+    nth = F.row_number().over(Window.partitionBy("doc_id", _text_hash()).orderBy(F.lit(0)))
+    return kept.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -196,7 +196,7 @@ def _kept_rows(window: int, anchor: int):
         columns = {"doc_id": pa.array([None if i == NO_ID else i for i in b.ids.tolist()], pa.int64())}
         columns |= {c: pa.array([x[k] for x in out], t) for k, (c, t) in enumerate((("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())))}
         if "rest" in b.docs.column_names:
-            columns["kept_text"] = pa.array([x[3] if len(x) > 3 else "" if x[1] else None for x in out], pa.string())
+            columns["text"] = pa.array([x[3] if len(x) > 3 else "" if x[1] else t for x, t in zip(out, b.docs.column("text").to_pylist())], pa.string())
             columns["rest"] = b.docs.column("rest")
         return pa.table(columns)
 
@@ -211,8 +211,8 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, anchor: int = ANC
     sorts before all others.  Windows are judged on the input.  Null and empty
     texts have no words; a text of fewer words than a window keeps all.
     Columns other than doc_id and text are not read, unless ``carry``: then
-    the result also has kept_text (null: nothing was removed, so the text
-    stands unchanged) and ``rest``, a struct of all columns.
+    the result also has text (the kept words joined by one blank; unchanged
+    where nothing was removed) and rest, a struct of all other columns.
 
     Returns doc_id, n_words, n_removed, kept_sha256, a row for each input row.
     """
@@ -244,10 +244,20 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, anchor: int = ANC
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
     if carry:
-        docs = documents.select("doc_id", "text", block_of(F.col("doc_id"), blocks).alias("block"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("rest"))
-        schema += f", kept_text string, rest {docs.schema['rest'].dataType.simpleString()}"
+        rest = [F.col(f"`{c}`") for c in documents.columns if c not in ("doc_id", "text")] or [F.lit(None).cast("boolean").alias("none")]
+        docs = documents.select("doc_id", "text", block_of(F.col("doc_id"), blocks).alias("block"), F.struct(*rest).alias("rest"))
+        schema += f", text string, rest {docs.schema['rest'].dataType.simpleString()}"
     return docs.groupBy("block").cogroup(notes.unionByName(told).groupBy("block")).applyInArrow(_kept_rows(window, anchor), schema)
 
 
+def without_repeats(documents: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """``documents`` with their texts rid of repeated spans, as ``remove_repeats`` does; n_chars, where there is one, follows the text."""
+    found = remove_repeats(documents, window, anchor, carry=True)
+    column = {"doc_id": F.col("doc_id"), "text": F.col("text")}
+    if dict(documents.dtypes).get("n_chars") in ("int", "bigint"):
+        column["n_chars"] = F.length("text").cast(dict(documents.dtypes)["n_chars"])
+    return found.select(*[column.get(c, F.col("rest").getField(c)).alias(c) for c in documents.columns])
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
