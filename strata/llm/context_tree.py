@@ -34,8 +34,10 @@ from .common import Scratch, estimated_bytes, remainder, table
 DEPTH = 5
 #: Estimated bytes of input in one block.
 BLOCK = 16 << 20
-#: Strings that a task collects before it merges them.
-PENDING = 4_000_000
+#: Different strings that a task holds before it passes them on.
+PENDING = 3_000_000
+#: Strings that it finds before it merges them with the others.
+LOOSE = 500_000
 #: Strings of whole subtrees that are worked out at once.
 TOGETHER = 200_000
 
@@ -163,7 +165,7 @@ def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return (bw.word_hashes(raw, starts, ends) | U64(1 << 63)).view(np.int64), np.diff(first)
 
 
-def _runs(texts: list[bytes], size: int = bw.CHUNK_BYTES):
+def _runs(texts: list[bytes], size: int = 1 << 20):
     """(first, last) of runs of texts of about ``size`` bytes."""
     first, n = 0, 0
     for k, t in enumerate(texts):
@@ -187,14 +189,19 @@ def _held_rows(depth: int, kind: str):
 
     def rows(batches):
         pending: dict[int, list] = defaultdict(list)
-        size = 0
+        loose = 0  # keys not merged yet
 
-        def merged():
+        def merge() -> int:
             for block, found in pending.items():
-                keys, n = _summed(np.concatenate([k for k, _ in found]), np.concatenate([c for _, c in found]))
-                for k in range(0, len(keys), 1 << 17):
-                    part = keys[k : k + (1 << 17)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), pa.array(part), pa.array(n[k : k + (1 << 17)])], names=["block", "key", "n"])
+                pending[block] = [_summed(np.concatenate([k for k, _ in found]), np.concatenate([c for _, c in found]))]
+            return sum(len(found[0][0]) for found in pending.values())
+
+        def flush():
+            merge()
+            for block, [(keys, n)] in pending.items():
+                for k in range(0, len(keys), 1 << 16):
+                    part = keys[k : k + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), pa.array(part), pa.array(n[k : k + (1 << 16)])], names=["block", "key", "n"])
             pending.clear()
 
         for batch in batches:
@@ -208,11 +215,12 @@ def _held_rows(depth: int, kind: str):
                         keys = strings_of(own[a:b], depth)[0].view(np.int64) if kind == "strings" else words_of(own[a:b])[0]
                         found, n = np.unique(keys, return_counts=True)
                         pending[int(block)].append((found, n * learn))
-                        size += len(found)
-            if size > PENDING:
-                yield from merged()
-                size = 0
-        yield from merged()
+                        loose += len(found)
+                        if loose > LOOSE:
+                            loose = 0
+                            if merge() > PENDING:
+                                yield from flush()
+        yield from flush()
 
     return rows
 
