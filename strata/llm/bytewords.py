@@ -7,6 +7,9 @@ characters.  Null texts count as empty.
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import inspect
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +27,35 @@ _TABLES = tuple(np.random.default_rng(7 + k).integers(1, 2**63, 256, dtype=np.ui
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def give_back() -> None:
+    """Returns freed memory to the system at the end of a task: workers are kept and reused, also by stages that follow."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # no such call here
+
+
+def giving_back(rows):
+    """``rows``, a function of an iterator or of tables, that gives memory back when it is done."""
+    if inspect.isgeneratorfunction(rows):
+
+        @functools.wraps(rows)
+        def of_batches(batches):
+            yield from rows(batches)
+            give_back()
+
+        return of_batches
+
+    @functools.wraps(rows)
+    def of_tables(a, b):
+        out = rows(a, b)
+        give_back()
+        return out
+
+    return of_tables
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     with np.errstate(over="ignore"):

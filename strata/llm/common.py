@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 #: The characters that part words, as a regular expression.
 SPACE = r"[\x20\x09-\x0D]+"
 #: Estimated bytes of input that one block of documents holds.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Blocks that even a small table gets, so that all cores have work.
 LEAST_BLOCKS = 64
 

@@ -222,7 +222,7 @@ def _held_rows(depth: int, kind: str):
                                 yield from flush()
         yield from flush()
 
-    return rows
+    return bw.giving_back(rows)
 
 
 def _subtree_rows(depth: int, top):
@@ -254,7 +254,7 @@ def _subtree_rows(depth: int, top):
         if waiting:
             yield made(np.concatenate(code), np.concatenate(n))
 
-    return rows
+    return bw.giving_back(rows)
 
 
 class _Lookup:
@@ -333,7 +333,7 @@ def _score_rows(depth: int, tokens: int, distinct: int, ends: int):
         size = len(texts)
         return pa.table({"doc_id": docs.column("doc_id"), "held_out": pa.array(~train), "n_tokens": out["n_tokens"], "n_known": out["n_known"], "train_tokens": pa.array(np.full(size, tokens)), "base_score": out["base_score"], "score": out["score"], "n_bytes": out["n_bytes"]})
 
-    return rows
+    return bw.giving_back(rows)
 
 
 def score_texts(documents: DataFrame, depth: int = DEPTH) -> DataFrame:

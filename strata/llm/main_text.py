@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bytewords as bw
 from .common import table
 
 #: Most pages that the field is trained on.
@@ -348,7 +349,7 @@ def extract(pages: DataFrame, field: Field | None = None) -> DataFrame:
             text = pa.array([main_text(p, field) for p in batch.column("html").to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), text], names=["page_id", "url", "text"])
 
-    found = pages.select("page_id", "url", "html").mapInArrow(rows, "page_id long, url string, text string")
+    found = pages.select("page_id", "url", "html").mapInArrow(bw.giving_back(rows), "page_id long, url string, text string")
     return found.withColumn("n_chars", F.length("text").cast("long"))
 
 

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import bytewords as bw
 from .common import table
 
 #: Lines that vectors are projected on.
@@ -103,7 +104,7 @@ def _pair_rows(k: int, first: dict[int, float]):
         q, r, d = (np.array(c) for c in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return pa.table({"query_id": query_ids[q], "query_own": query_own[q], "vec_id": ids[r], "score": d})
 
-    return rows
+    return bw.giving_back(rows)
 
 
 def first_radii(vectors: DataFrame, k: int) -> dict[int, float]:

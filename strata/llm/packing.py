@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import bytewords as bw
 from .common import Scratch, table
 from .tokens import CACHE, slices, tokenizer
 
@@ -62,6 +63,14 @@ class Ids:
         self.place: dict[str, int] = {"": 0}
         self.bounds, self.ids = np.zeros(2, np.int64), np.zeros(0, "<u4")
 
+    def _keep_only(self, words: list[str]) -> None:
+        words = ["", *[w for w in words if w]]
+        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        size = self.bounds[at + 1] - self.bounds[at]
+        ends = np.cumsum(size)
+        self.ids = self.ids[np.arange(ends[-1]) + np.repeat(self.bounds[at] - ends + size, size)]
+        self.place, self.bounds = dict(zip(words, range(len(words)))), np.r_[0, ends]
+
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -91,7 +100,7 @@ class Ids:
             coded = words.values.dictionary_encode()
             met = coded.dictionary.to_pylist()
             if len(self.place) > CACHE:
-                self._forget()
+                self._keep_only([w for w in met if w in self.place])  # the frequent ones are among them
             new = [w for w in met if w not in self.place]
             if new:
                 self._learn(new)
@@ -127,7 +136,7 @@ def _piece_rows(path: str, limit: int, end: int):
             out |= {"piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())}
             yield pa.RecordBatch.from_pydict(out)
 
-    return rows
+    return bw.giving_back(rows)
 
 
 def plan(counts: dict[int, int], limit: int = LIMIT) -> list[tuple[tuple[int, ...], int]]:

@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import bytewords as bw
 from .common import Scratch, table
 from .components import connected
 
@@ -71,7 +72,7 @@ def _fingerprint_rows(shingle: int):
             fps = pa.array(fingerprints_of(texts, shingle).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), fps], names=["doc_id", "text_hash", "fp"])
 
-    return rows
+    return bw.giving_back(rows)
 
 
 def chains_hold(x: np.ndarray, distance: int = DISTANCE) -> np.ndarray:
@@ -127,7 +128,7 @@ def _edge_rows(distance: int):
     def out(a, b):
         return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
-    return rows
+    return bw.giving_back(rows)
 
 
 def _bits(low: int, width: int):

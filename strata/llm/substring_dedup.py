@@ -76,7 +76,7 @@ def _anchor_rows(window: int, anchor: int):
                 n = np.diff(np.r_[np.flatnonzero(new), len(key)])
                 yield pa.RecordBatch.from_arrays([pa.array(own[new].astype(np.int32)), pa.array(key[new].view(np.int64)), pa.array(n.astype(np.int32))], names=["block", "a", "n"])
 
-    return rows
+    return bw.giving_back(rows)
 
 
 def _summary_rows(window: int):
@@ -90,7 +90,7 @@ def _summary_rows(window: int):
                     shas.append(hashlib.sha256(b" ".join(w)).digest())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(shas, pa.binary())], names=["doc_id", "sha"])
 
-    return rows
+    return bw.giving_back(rows)
 
 
 class _Block:
@@ -152,7 +152,7 @@ def _window_rows(window: int, anchor: int):
         packed = (b.start[k].astype(bw.U64) << bw.U64(32)) | b.before[k]
         return pa.table({"h": b.h[k].view(np.int64), "doc_id": b.ids[b.doc[k]], "at": packed.view(np.int64), "next": b.after[k].view(np.int64)})
 
-    return rows
+    return bw.giving_back(rows)
 
 
 def _kept_rows(window: int, anchor: int):
@@ -200,7 +200,7 @@ def _kept_rows(window: int, anchor: int):
             columns["rest"] = b.docs.column("rest")
         return pa.table(columns)
 
-    return rows
+    return bw.giving_back(rows)
 
 
 def remove_repeats(documents: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, carry: bool = False) -> DataFrame:

@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bytewords as bw
 from .common import table
 from .tokens import CACHE, slices, tokenizer
 
@@ -111,7 +112,7 @@ def _count_rows(path: str, single):
             n = pa.array(np.fromiter(counts.of(text.to_pylist()), np.int64, len(text)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), size, n], names=["doc_id", "n_bytes", "n_tokens"])
 
-    return rows
+    return bw.giving_back(rows)
 
 
 def count_tokens(documents: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:

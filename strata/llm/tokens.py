@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 
 #: Strings that a table holds before it starts anew.
-CACHE = 600_000
+CACHE = 300_000
 #: Characters of text handled at once.
 SLICE_CHARS = 1 << 23
 
