@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import bytewords as bw
 from .common import Scratch, table
-from .tokens import CACHE, slices, tokenizer
+from .tokens import CACHE, slices, texts_of, tokenizer
 
 #: Tokens of a sequence.
 LIMIT = 4096
@@ -78,8 +78,8 @@ class Ids:
         pieces = np.fromiter((1 if w.isalpha() else len(_PIECES.findall(w)) for w in new), np.int64, len(new))
         ids, sizes = [self.ids], []
         runs = [new[k : k + step] for k in range(0, len(new), step)]
-        for k, (run, e) in enumerate(zip(runs, self.tokenizer.encode_batch_fast([" ".join(run) for run in runs], add_special_tokens=False))):
-            own = np.array(e.ids, "<u4")
+        coded = (np.array(e.ids, "<u4") for k in range(0, len(runs), 16) for e in self.tokenizer.encode_batch_fast([" ".join(run) for run in runs[k : k + 16]], add_special_tokens=False))
+        for k, (run, own) in enumerate(zip(runs, coded)):
             ends = np.flatnonzero(self.last[own])
             to = np.cumsum(pieces[k * step : k * step + len(run)])
             if len(ends) == to[-1]:
@@ -123,7 +123,7 @@ def _piece_rows(path: str, limit: int, end: int):
         ids = _made[path] if path in _made else _made.setdefault(path, Ids(path))  # a worker keeps its table between tasks
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
-            for k, text in enumerate(ids.of(batch.column("text").to_pylist())):
+            for k, text in enumerate(ids.of(texts_of(batch.column("text")))):
                 own = text + last
                 for at in range(0, len(own), 4 * limit):
                     part = own[at : at + 4 * limit]

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import bytewords as bw
 from .common import table
-from .tokens import CACHE, slices, tokenizer
+from .tokens import CACHE, slices, texts_of, tokenizer
 
 #: Tokens above which a document is over the limit.
 LIMIT = 512
@@ -109,7 +109,7 @@ def _count_rows(path: str, single):
         for batch in batches:
             text = batch.column("text")
             size = pc.fill_null(pc.binary_length(text.cast(pa.binary())), 0).cast(pa.int64())
-            n = pa.array(np.fromiter(counts.of(text.to_pylist()), np.int64, len(text)))
+            n = pa.array(np.fromiter(counts.of(texts_of(text)), np.int64, len(text)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), size, n], names=["doc_id", "n_bytes", "n_tokens"])
 
     return bw.giving_back(rows)

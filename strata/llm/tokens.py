@@ -5,9 +5,9 @@ from __future__ import annotations
 import os
 
 #: Strings that a table holds before it starts anew.
-CACHE = 300_000
+CACHE = 150_000
 #: Characters of text handled at once.
-SLICE_CHARS = 1 << 23
+SLICE_CHARS = 1 << 22
 
 
 def tokenizer(path: str):
@@ -28,3 +28,9 @@ def slices(texts: list[str | None]):
             run, size = [], 0
     if run:
         yield run
+
+
+def texts_of(column, rows: int = 1000):
+    """The texts of an Arrow column, a few rows at a time."""
+    for k in range(0, len(column), rows):
+        yield from column.slice(k, rows).to_pylist()
