@@ -11,7 +11,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 #: Modules that register queries when they are imported.
-_MODULES = ("corpus", "evaluation", "relational", "rules", "sequences")
+_MODULES = ("corpus", "evaluation", "pages", "relational", "rules", "sequences")
 
 
 def query(sql: str | None = None):
