@@ -18,7 +18,7 @@ def html_records(spark, d):
     return D.parse_pages(table(spark, d, "pages").select(F.col("url").alias("page_url"), F.lit("catalogue").alias("page_role"), "html"))
 
 
-@query()
+@query("WITH h AS (SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM pages), n AS (SELECT page_id, lead(page_id) OVER (ORDER BY page_id) AS nxt, row_number() OVER (ORDER BY page_id) AS place FROM h WHERE host = (SELECT host FROM h WHERE page_id = 0)) SELECT page_id::VARCHAR AS page_url, place, CASE WHEN nxt IS NULL THEN 'no_next_link' WHEN place >= 24 THEN 'page_cap' END AS stop FROM n WHERE place <= 24")
 def page_walk(spark, d):
     """From the first page on along the next page of the same host, 24 pages at most: the cap is the feature."""
     from pyspark.sql import Window
@@ -78,7 +78,8 @@ def addressed_cells(spark, d):
 def store(spark, d) -> Store:
     """An inspection store made of orders (units), line numbers (rows) and their columns (cells)."""
     o = table(spark, d, "orders").where("o_orderkey <= 200")
-    l = table(spark, d, "lineitem").where("l_orderkey <= 200 AND l_linenumber <= 4").dropDuplicates(["l_orderkey", "l_linenumber"])
+    l = table(spark, d, "lineitem").where("l_orderkey <= 200 AND l_linenumber <= 4")
+    l = l.groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_quantity", "l_discount", "l_returnflag", "l_linestatus")])
     unit, text = F.col("o_orderkey").cast("string"), lambda *c: F.concat_ws(":", *c)
     u = o.select(unit.alias("unit_key"), F.col("o_orderpriority").alias("label"), F.col("o_orderkey").cast("int").alias("physical_page"), F.lit("{}").alias("provenance_json"), F.lit("{}").alias("exposure_json"), F.lit("{}").alias("permissions_json"))
     manifest = u.agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.col("unit_key"))), lambda k: F.struct(k.alias("sha256"))).alias("views"))).alias("value_json")).select(F.lit("source_manifest").alias("key"), "value_json")
@@ -108,23 +109,40 @@ def store(spark, d) -> Store:
     return Store(t)
 
 
+_STORE = """u AS (SELECT o_orderkey AS k, o_orderkey::VARCHAR AS unit_key, o_orderpriority AS label, o_orderkey::INT AS physical_page, '{}' AS provenance_json, '{}' AS exposure_json, '{}' AS permissions_json FROM orders WHERE o_orderkey <= 200),
+l AS (SELECT l_orderkey AS k, l_linenumber AS n, min(l_quantity) AS q, min(l_discount) AS d, min(l_returnflag) AS f, min(l_linestatus) AS s, l_orderkey || ':' || l_linenumber AS row_key FROM lineitem WHERE l_orderkey <= 200 AND l_linenumber <= 4 GROUP BY 1, 2),
+t AS (SELECT k, string_agg(s, chr(10) ORDER BY n) AS literal, count(*) FILTER (s = 'O') AS unknown FROM l GROUP BY k),
+c AS (SELECT k, n, i, row_key || ':' || i AS cell_key FROM l, (VALUES (0), (1), (2)) v(i))"""
+_PIVOT = """SELECT n AS ordinal, row_key, '"primary"' AS documentary_role_json, '{"l_returnflag":"' || f || '"}' AS a, row_key || ':0' AS a0, q::VARCHAR AS b, row_key || ':1' AS b0, d::VARCHAR AS c, row_key || ':2' AS c0, 'x:' || k AS context_key, literal, unknown, k FROM l JOIN t USING (k) WHERE n > 1"""
+_SQL = {
+    "units": f"WITH {_STORE} SELECT unit_key, label, physical_page, provenance_json, exposure_json, permissions_json, count(n) FILTER (n > 1) AS body_rows, 3 * count(n) FILTER (n > 1) AS body_cells, 3 * count(n) FILTER (n = 1) AS header_cells, count(n) AS dependencies FROM u LEFT JOIN l USING (k) GROUP BY ALL",
+    "priority": f"WITH {_STORE} SELECT ordinal, row_key, documentary_role_json, a AS Lugar_json, a0 AS Lugar_address, b AS Caso_json, b0 AS Caso_address, c AS Situacion_json, c0 AS Situacion_address, context_key, literal AS introduction_literal FROM ({_PIVOT}) WHERE k % 2 = 0",
+    "regional": f"WITH {_STORE} SELECT ordinal, row_key, documentary_role_json, a AS category_json, b AS count_json, c AS percentage_json, context_key, literal AS caption_literal, unknown AS unknown_dependencies FROM ({_PIVOT}) WHERE k % 2 = 1",
+    "dependencies": f"WITH {_STORE} SELECT unit_key, row_key || ':d' AS dependency_key, n AS ordinal, 'name' AS name, CASE WHEN s = 'O' THEN 'unknown' ELSE 'confirmed_none' END AS state, physical_page FROM l JOIN u USING (k)",
+    "limits": f"""WITH {_STORE} SELECT 'scope' AS key, '"invented"' AS value_json UNION ALL SELECT 'unit:' || physical_page || x, '{{}}' FROM u, (VALUES (':provenance'), (':coverage-and-exposure'), (':permissions')) v(x)""",
+    "trace": f"""WITH {_STORE}, x AS (SELECT c.*, l.f, l.row_key FROM c JOIN l USING (k, n) WHERE n > 1 ORDER BY k::VARCHAR, n, i LIMIT 1)
+SELECT cell_key, 'object' AS value_type, '{{"l_returnflag":"' || f || '"}}' AS value_json, sha256(cell_key) AS document_sha256, '/0' AS pointer, NULL::VARCHAR AS historical_record_sha256, row_key || ':w' AS word_key, f AS text, '[0,1]' AS span_json, '[]' AS bbox_json, 'f' AS frame,
+CASE WHEN n % 2 = 0 THEN 'evidence' END AS evidence_kind, CASE WHEN n % 2 = 0 THEN k || ':r' END AS evidence_address, 'x:' || k AS context_key, CASE WHEN k % 3 = 0 THEN k::VARCHAR END AS assertion_source, CASE WHEN k % 3 = 0 THEN '{{}}' END AS attribution_json, CASE WHEN k % 3 = 0 THEN 'absent' END AS stage_presence, NULL::VARCHAR AS stage_json FROM x""",
+}
+
+
 def _named(name):
     def f(spark, d):
         return store(spark, d).query(name)
 
     f.__name__ = f"inspect_{name}"
-    return query()(f)
+    return query(_SQL[name])(f)
 
 
-for _name in ("units", "priority", "regional", "dependencies", "limits", "trace"):
+for _name in _SQL:
     _named(_name)
 
 
-@query()
+@query(f"WITH {_STORE} SELECT cell_key, k || ':q' AS qualifier_key, 'note' AS kind, CASE WHEN k % 2 = 0 THEN 'table_proposal' ELSE 'column' END AS target_kind, CASE WHEN k % 2 = 0 THEN ['place_text', 'case_description', 'published_situation'][i + 1] ELSE ['category', 'count', 'percentage'][i + 1] END AS column_role FROM c WHERE n > 1 AND (k % 2 = 0 OR i = 1)")
 def inspect_qualifiers(spark, d):
     return store(spark, d).cell_qualifiers()
 
 
-@query()
+@query(f"WITH {_STORE} SELECT cell_key, k::VARCHAR AS unit_key, 'x:' || k AS context_key, 'caption' AS kind FROM c")
 def inspect_contexts(spark, d):
     return store(spark, d).cell_context()
