@@ -233,6 +233,13 @@ def resolve(value: Column, pointer: str) -> Column:
     return F.to_json(F.try_variant_get(F.try_parse_json(value), pointer_path(pointer), "variant"))
 
 
+def contract_of(document: Column, field: str, contracts: list[str], base: str) -> Column:
+    """Which contract a JSON object follows, by its discriminating field: one of ``contracts``, or ``base`` where the field is absent; null for anything else."""
+    found = F.try_variant_get(F.try_parse_json(document), f"$.{field}", "string")
+    is_object = json_kind(document) == "object"
+    return F.when(is_object & found.isNull(), base).when(is_object & found.isin(*contracts), found)
+
+
 def strictly_equal(a: Column, b: Column) -> Column:
     """Equality of JSON texts that tells 0, false, 0.0 and "0" apart."""
     x, y = F.try_parse_json(a), F.try_parse_json(b)

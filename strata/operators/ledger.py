@@ -97,3 +97,13 @@ def classify_observation(expected, observed, complete):
     state = first_rule((~complete, "INCONCLUSIVE"), (observed.isNull(), "INCONCLUSIVE"), (observed == expected, "PASS"), otherwise="FAIL")
     reason = first_rule((~complete, "evidence_incomplete"), (observed.isNull(), "not_observed"), (observed == expected, "as_expected"), otherwise="differs")
     return state, reason
+
+
+def action_plan(*parts: DataFrame) -> DataFrame:
+    """Actions (run_id, place, action) of several parts in one contiguous sequence for each run: part by part, then by place."""
+    both = None
+    for k, part in enumerate(parts):
+        one = part.select("run_id", F.lit(k).alias("part"), "place", "action")
+        both = one if both is None else both.unionByName(one)
+    nth = F.row_number().over(Window.partitionBy("run_id").orderBy("part", "place", "action"))
+    return both.select("run_id", nth.alias("sequence"), "action")
