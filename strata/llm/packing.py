@@ -269,7 +269,7 @@ def pack(documents: DataFrame, path: str, limit: int = LIMIT, end: int = END) ->
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     firsts = counts.select("length", "part", F.coalesce(before, F.lit(0)).alias("before"))
     own = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32", "start"))
-    ranked = kept.withColumn("own", own).join(F.broadcast(firsts), ["length", "part"])  # at most limit * PARTS rows
+    ranked = kept.withColumn("own", own).join(firsts, ["length", "part"])  # on the keys that the window is dealt by
     ranked = ranked.withColumn("rank", F.col("own") - 1 + F.col("before"))
     placed = ranked.join(F.broadcast(where), "length")  # as many rows as lengths; slots follow the templates, not the pieces
     slot = F.element_at(F.filter("slots", lambda s: (s["first"] <= F.col("rank")) & (F.col("rank") < s["last"])), 1)
