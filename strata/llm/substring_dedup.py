@@ -12,9 +12,11 @@ it.  All windows of such a path occur at the same places, shifted, so one
 lookup at the head of a path settles the path (a document's first window is a
 head): where the head's source
 coordinates (document, start) are not the smallest of all its occurrences, all
-windows of that occurrence repeat an earlier one.  Heads are found by joins: a
-window with several predecessors is one, and so is each successor of a window
-with several successors.
+windows of that occurrence repeat an earlier one.  A window with several
+predecessors is a head, and so is each successor of a window with several
+successors; where such a successor has no other predecessor, its occurrences are
+those of the edge to it, so one shuffle by window tells both.  The heads' verdicts
+are joined to the documents, where each holds up to the next head.
 
 Documents are handled in blocks of bounded size; a block reports each window
 with the same neighbours once, at its first place, so a passage that a third of
@@ -41,7 +43,7 @@ ANCHOR = 6
 #: Stands for the id of a document without one; sorts before all others.
 NO_ID = -(2**63)
 
-_ANCHOR, _COPY, _HEAD = 0, 1, 2
+_ANCHOR, _COPY, _HEAD, _BEHIND = 0, 1, 2, 3
 
 
 def _anchors_at(h: np.ndarray, first: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -158,11 +160,12 @@ def _window_rows(window: int, anchor: int):
 def _kept_rows(window: int, anchor: int):
     def rows(docs: pa.Table, notes: pa.Table) -> pa.Table:
         b = _Block(docs, notes, window, anchor)
-        heads = notes.filter(pc.equal(notes.column("kind"), _HEAD))
-        told = {(i, s): bool(d) for i, s, d in zip(heads.column("a").to_pylist(), heads.column("at").to_pylist(), heads.column("dup").to_pylist())}
+        told: dict[tuple[int, int], bool] = {}
+        for kind in (_BEHIND, _HEAD):  # what a window's own node says comes before what the one before it says
+            heads = notes.filter(pc.equal(notes.column("kind"), kind))
+            told.update(zip(zip(heads.column("a").to_pylist(), heads.column("at").to_pylist()), heads.column("dup").to_pylist()))
         own = b.ids[b.doc]
         repeat = np.zeros(len(b.h), bool)
-        heads_at = {(i, s) for i, s in told}
         last_doc, last_start, verdict = -1, -2, False
         lead_of, later = b.lead_of, b.later
         for k, (d, i, s) in enumerate(zip(b.doc.tolist(), own.tolist(), b.start.tolist())):
@@ -171,8 +174,7 @@ def _kept_rows(window: int, anchor: int):
             else:
                 if d != last_doc or s != last_start + 1:
                     verdict = False
-                if (i, s) in heads_at:
-                    verdict = told[i, s]
+                verdict = told.get((i, s), verdict)
             repeat[k] = verdict
             last_doc, last_start = d, s
         first_of = np.searchsorted(b.doc, np.arange(len(b.ids) + 1))
@@ -227,20 +229,22 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, anchor: int = ANC
     summary = docs.mapInArrow(_summary_rows(window), "doc_id long, sha binary")
     firsts = summary.groupBy("sha").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.count("doc_id").alias("m")).where("n > 1 and n = m").select("sha", "least")
     copies = summary.join(firsts, "sha").where("doc_id > least").select(block_of(F.col("doc_id"), blocks).alias("block"), F.col("doc_id").alias("a")).distinct()
-    note = lambda df, kind: df.select("block", F.lit(kind).alias("kind"), "a", *(["at", "dup"] if kind == _HEAD else [F.lit(None).cast("long").alias("at"), F.lit(None).cast("boolean").alias("dup")]))
+    note = lambda df, kind: df.select("block", F.lit(kind).alias("kind"), "a", F.lit(None).cast("long").alias("at"), F.lit(None).cast("boolean").alias("dup"))
     notes = scratch.keep(note(often, _ANCHOR).unionByName(note(copies, _COPY)))
 
     rows = docs.groupBy("block").cogroup(notes.groupBy("block")).applyInArrow(_window_rows(window, anchor), "h long, doc_id long, at long, next long")
-    same = Window.partitionBy("h")
     rows = rows.withColumns({"start": F.shiftrightunsigned("at", 32), "prev": F.col("at").bitwiseAND(0xFFFFFFFF)})
-    nodes = rows.withColumns({
-        "first": F.min(F.struct("doc_id", "start")).over(same),
+    place, same = F.struct("doc_id", "start"), Window.partitionBy("h")
+    nodes = rows.withColumn("next_first", F.min(place).over(Window.partitionBy("h", "next"))).withColumns({
+        "first": F.min(place).over(same),
         "joins": (F.min("prev").over(same) != F.max("prev").over(same)) | (F.col("prev") == 0),
-        "forks": F.min("next").over(same) != F.max("next").over(same),
-    }).select("h", "doc_id", "start", "next", "joins", "forks", (F.struct("doc_id", "start") != F.col("first")).alias("dup"))
-    behind_fork = nodes.where("forks and next != 0").select(F.col("next").alias("h")).distinct().withColumn("behind", F.lit(True))
-    heads = nodes.join(behind_fork, "h", "left").where("joins or behind").select(block_of(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")), blocks).alias("block"), F.col("doc_id").alias("a"), F.col("start").alias("at"), "dup")
-    told = scratch.keep(note(heads, _HEAD))
+        "forks": (F.min("next").over(same) != F.max("next").over(same)) & (F.col("next") != 0),
+    })
+    here = F.when(F.col("joins"), F.struct(F.lit(_HEAD).alias("kind"), F.col("start").alias("at"), (place != F.col("first")).alias("dup")))
+    after = F.when(F.col("forks"), F.struct(F.lit(_BEHIND).alias("kind"), (F.col("start") + 1).alias("at"), (place != F.col("next_first")).alias("dup")))
+    heads = nodes.where("joins or forks").select("doc_id", F.explode(F.array_compact(F.array(here, after))).alias("r"))
+    own = F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))
+    told = scratch.keep(heads.select(block_of(own, blocks).alias("block"), "r.kind", F.col("doc_id").alias("a"), "r.at", "r.dup"))
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
     if carry:
