@@ -133,7 +133,7 @@ class _Block:
         self.doc, self.start = glue(doc, np.int64), glue(start, np.int64)
         self.h, self.before, self.after = (glue(x, bw.U64) for x in (h, before, after))
         n = len(self.h)
-        order = np.lexsort((np.arange(n), self.after, self.before, self.h))
+        order = np.lexsort((self.start, self.ids[self.doc], self.after, self.before, self.h))
         x, y, z = self.h[order], self.before[order], self.after[order]
         new = np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (z[1:] != z[:-1])] if n else np.zeros(0, bool)
         #: Whether a window is the block's first one with its neighbours. Rows that share an id and a start are at one place.
@@ -144,7 +144,6 @@ class _Block:
             lead_of[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
         at_place = (self.ids[self.doc] == self.ids[self.doc[lead_of]]) & (self.start == self.start[lead_of])
         self.later = ~self.lead & ~at_place
-        self.lead_of = lead_of
 
 
 def _window_rows(window: int, anchor: int):
@@ -160,21 +159,21 @@ def _window_rows(window: int, anchor: int):
 def _kept_rows(window: int, anchor: int):
     def rows(docs: pa.Table, notes: pa.Table) -> pa.Table:
         b = _Block(docs, notes, window, anchor)
-        told: dict[tuple[int, int], bool] = {}
+        told: dict[tuple[int, int, int], bool] = {}  # by place and window: rows may share an id
         for kind in (_BEHIND, _HEAD):  # what a window's own node says comes before what the one before it says
             heads = notes.filter(pc.equal(notes.column("kind"), kind))
-            told.update(zip(zip(heads.column("a").to_pylist(), heads.column("at").to_pylist()), heads.column("dup").to_pylist()))
+            told.update(zip(zip(*(heads.column(c).to_pylist() for c in ("a", "at", "h"))), heads.column("dup").to_pylist()))
         own = b.ids[b.doc]
         repeat = np.zeros(len(b.h), bool)
         last_doc, last_start, verdict = -1, -2, False
-        lead_of, later = b.lead_of, b.later
-        for k, (d, i, s) in enumerate(zip(b.doc.tolist(), own.tolist(), b.start.tolist())):
+        later = b.later
+        for k, (d, i, s, h) in enumerate(zip(b.doc.tolist(), own.tolist(), b.start.tolist(), b.h.view(np.int64).tolist())):
             if later[k]:
                 verdict = True
             else:
                 if d != last_doc or s != last_start + 1:
                     verdict = False
-                verdict = told.get((i, s), verdict)
+                verdict = told.get((i, s, h), verdict)
             repeat[k] = verdict
             last_doc, last_start = d, s
         first_of = np.searchsorted(b.doc, np.arange(len(b.ids) + 1))
@@ -229,7 +228,7 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, anchor: int = ANC
     summary = docs.mapInArrow(_summary_rows(window), "doc_id long, sha binary")
     firsts = summary.groupBy("sha").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.count("doc_id").alias("m")).where("n > 1 and n = m").select("sha", "least")
     copies = summary.join(firsts, "sha").where("doc_id > least").select(block_of(F.col("doc_id"), blocks).alias("block"), F.col("doc_id").alias("a")).distinct()
-    note = lambda df, kind: df.select("block", F.lit(kind).alias("kind"), "a", F.lit(None).cast("long").alias("at"), F.lit(None).cast("boolean").alias("dup"))
+    note = lambda df, kind: df.select("block", F.lit(kind).alias("kind"), "a", *[F.lit(None).cast(t).alias(n) for n, t in (("at", "long"), ("h", "long"), ("dup", "boolean"))])
     notes = scratch.keep(note(often, _ANCHOR).unionByName(note(copies, _COPY)))
 
     rows = docs.groupBy("block").cogroup(notes.groupBy("block")).applyInArrow(_window_rows(window, anchor), "h long, doc_id long, at long, next long")
@@ -240,11 +239,11 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, anchor: int = ANC
         "joins": (F.min("prev").over(same) != F.max("prev").over(same)) | (F.col("prev") == 0),
         "forks": (F.min("next").over(same) != F.max("next").over(same)) & (F.col("next") != 0),
     })
-    here = F.when(F.col("joins"), F.struct(F.lit(_HEAD).alias("kind"), F.col("start").alias("at"), (place != F.col("first")).alias("dup")))
-    after = F.when(F.col("forks"), F.struct(F.lit(_BEHIND).alias("kind"), (F.col("start") + 1).alias("at"), (place != F.col("next_first")).alias("dup")))
+    here = F.when(F.col("joins"), F.struct(F.lit(_HEAD).alias("kind"), F.col("start").alias("at"), F.col("h").alias("h"), (place != F.col("first")).alias("dup")))
+    after = F.when(F.col("forks"), F.struct(F.lit(_BEHIND).alias("kind"), (F.col("start") + 1).alias("at"), F.col("next").alias("h"), (place != F.col("next_first")).alias("dup")))
     heads = nodes.where("joins or forks").select("doc_id", F.explode(F.array_compact(F.array(here, after))).alias("r"))
     own = F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))
-    told = scratch.keep(heads.select(block_of(own, blocks).alias("block"), "r.kind", F.col("doc_id").alias("a"), "r.at", "r.dup"))
+    told = scratch.keep(heads.select(block_of(own, blocks).alias("block"), "r.kind", F.col("doc_id").alias("a"), "r.at", "r.h", "r.dup"))
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
     if carry:

@@ -53,6 +53,24 @@ def test_random_overlaps(spark):
         assert rows_of(remove_repeats(df, window, anchor)) == brute(rows, window)
 
 
+def test_rows_that_share_an_id(spark, monkeypatch):
+    monkeypatch.setattr("strata.llm.common.LEAST_BLOCKS", 5)
+    for seed in (1, 2, 3):
+        rng = random.Random(seed)
+        passages = [[rng.choice("ab" if seed == 3 else "abcd") for _ in range(rng.randint(3, 30))] for _ in range(8)]
+        rows = []
+        for i in range(120):
+            parts = []
+            for _ in range(rng.randint(0, 5)):
+                p = rng.choice(passages)
+                a = rng.randrange(len(p))
+                parts += p[a : rng.randint(a, len(p))]
+            rows.append((rng.choice([i, i // 2, None]), " ".join(parts)))
+        for window, anchor in ((4, 2), (7, 3)):
+            df = spark.createDataFrame(rows, "doc_id long, text string")
+            assert rows_of(remove_repeats(df, window, anchor)) == brute(rows, window)
+
+
 def test_edges(spark):
     p = " ".join(f"w{i}" for i in range(30))
     rows = [(None, p), (1, None), (1, ""), (2, p), (2, p), (3, " \t\n"), (4, "a " + p), (5, p.upper())]
