@@ -37,7 +37,8 @@ TRIES = 64
 PARTS = 256
 
 #: Texts whose words the tokenizer can be given in any company: for these characters both libraries lower-case and part alike.
-_PIECES = re.compile(r"[^\W\d_]+|[0-9]|'(?:[stmd]|re|ve|ll)|(?:[^\s\w]|_)+")
+#: Fixed value: what the tokenizer cuts off a run of letters (RE2).
+_PARTS = r"('(?:s|t|re|ve|m|ll|d)|[0-9]|[^\p{L}\p{N}\s]+)"
 _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xa9\xab-\xac\xae-\xb1\xb4-\xb8\xbb\xbf-ÿ‐-‧€]*")
 
 
@@ -45,8 +46,8 @@ class Ids:
     """The ids of texts as bytes (unsigned, little-endian, 32 bits).
 
     The tokenizer drops white space, cuts words into pieces and never merges
-    across pieces, so a text's ids are those of its words one after the other.
-    Each word is encoded once and kept as a place in one array of ids.  Texts
+    across pieces, so a text's ids are those of its pieces one after the other.
+    Each piece is encoded once and kept as a place in one array of ids.  Texts
     with other than plain characters, or with what may be a special token, go to
     the tokenizer whole.
     """
@@ -75,16 +76,14 @@ class Ids:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, new: list[str], step: int = 500) -> None:
-        pieces = np.fromiter((1 if w.isalpha() else len(_PIECES.findall(w)) for w in new), np.int64, len(new))
         ids, sizes = [self.ids], []
         runs = [new[k : k + step] for k in range(0, len(new), step)]
         coded = (np.array(e.ids, "<u4") for k in range(0, len(runs), 16) for e in self.tokenizer.encode_batch_fast([" ".join(run) for run in runs[k : k + 16]], add_special_tokens=False))
-        for k, (run, own) in enumerate(zip(runs, coded)):
+        for run, own in zip(runs, coded):
             ends = np.flatnonzero(self.last[own])
-            to = np.cumsum(pieces[k * step : k * step + len(run)])
-            if len(ends) == to[-1]:
+            if len(ends) == len(run):
                 ids.append(own)
-                sizes.append(np.diff(np.r_[0, ends[to - 1] + 1]))
+                sizes.append(np.diff(np.r_[-1, ends]))
             else:  # a piece that the vocabulary cannot spell
                 each = [np.frombuffer(self.whole(w), "<u4") for w in run]
                 ids += each
@@ -96,7 +95,8 @@ class Ids:
     def of(self, texts: list[str | None]):
         for run in slices(texts):
             plain = ["<|" not in t and _PLAIN.fullmatch(t) is not None for t in run]
-            words = pc.ascii_split_whitespace(pc.utf8_lower(pa.array([t if p else "" for t, p in zip(run, plain)], pa.string())))
+            low = pc.utf8_lower(pa.array([t if p else "" for t, p in zip(run, plain)], pa.string()))
+            words = pc.ascii_split_whitespace(pc.replace_substring_regex(low, _PARTS, r" \1 "))
             coded = words.values.dictionary_encode()
             met = coded.dictionary.to_pylist()
             if len(self.place) > CACHE:

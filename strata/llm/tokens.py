@@ -5,9 +5,9 @@ from __future__ import annotations
 import os
 
 #: Strings that a table holds before it starts anew.
-CACHE = 150_000
+CACHE = 250_000
 #: Characters of text handled at once.
-SLICE_CHARS = 1 << 22
+SLICE_CHARS = 1 << 23
 
 
 def tokenizer(path: str):
