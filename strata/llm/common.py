@@ -66,4 +66,6 @@ class Scratch:
         path = f"{self.root}/{self.made}"
         self.made += 1
         df.write.parquet(path)
+        # what the write shuffled is of no more use; Spark's cleaner removes it once the driver has collected its garbage
+        self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)

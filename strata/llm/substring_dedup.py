@@ -232,6 +232,7 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, anchor: int = ANC
     notes = scratch.keep(note(often, _ANCHOR).unionByName(note(copies, _COPY)))
 
     rows = docs.groupBy("block").cogroup(notes.groupBy("block")).applyInArrow(_window_rows(window, anchor), "h long, doc_id long, at long, next long")
+    rows = rows.repartition("h")  # once, packed: both windows below are on its key
     rows = rows.withColumns({"start": F.shiftrightunsigned("at", 32), "prev": F.col("at").bitwiseAND(0xFFFFFFFF)})
     place, same = F.struct("doc_id", "start"), Window.partitionBy("h")
     nodes = rows.withColumn("next_first", F.min(place).over(Window.partitionBy("h", "next"))).withColumns({
