@@ -20,7 +20,7 @@ U64 = np.uint64
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes handled at once: what bounds the temporary arrays of a task.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _BASES = (U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F))
 _TABLES = tuple(np.random.default_rng(7 + k).integers(1, 2**63, 256, dtype=np.uint64) for k in range(2))

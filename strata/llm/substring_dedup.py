@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from . import bytewords as bw
 from .common import Scratch, block_count, block_of, table
+from .tokens import texts_of
 
 #: Words of a repeated window.
 WINDOW = 20
@@ -85,7 +86,7 @@ def _summary_rows(window: int):
     def rows(batches):
         for batch in batches:
             ids, shas = [], []
-            for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            for i, t in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text"))):
                 w = (t or "").encode().split()
                 if len(w) >= window:
                     ids.append(i)
@@ -156,26 +157,31 @@ def _window_rows(window: int, anchor: int):
     return bw.giving_back(rows)
 
 
+def _place_key(ids: np.ndarray, starts: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """One 64-bit key for a document, a start and a window: rows may share an id, so the window is part of it."""
+    return bw.mix(bw.mix(ids.astype(np.int64).view(bw.U64)) ^ bw.mix(starts.astype(bw.U64) + bw.U64(1)) ^ h)
+
+
 def _kept_rows(window: int, anchor: int):
     def rows(docs: pa.Table, notes: pa.Table) -> pa.Table:
         b = _Block(docs, notes, window, anchor)
-        told: dict[tuple[int, int, int], bool] = {}  # by place and window: rows may share an id
-        for kind in (_BEHIND, _HEAD):  # what a window's own node says comes before what the one before it says
-            heads = notes.filter(pc.equal(notes.column("kind"), kind))
-            told.update(zip(zip(*(heads.column(c).to_pylist() for c in ("a", "at", "h"))), heads.column("dup").to_pylist()))
-        own = b.ids[b.doc]
-        repeat = np.zeros(len(b.h), bool)
-        last_doc, last_start, verdict = -1, -2, False
-        later = b.later
-        for k, (d, i, s, h) in enumerate(zip(b.doc.tolist(), own.tolist(), b.start.tolist(), b.h.view(np.int64).tolist())):
-            if later[k]:
-                verdict = True
-            else:
-                if d != last_doc or s != last_start + 1:
-                    verdict = False
-                verdict = told.get((i, s, h), verdict)
-            repeat[k] = verdict
-            last_doc, last_start = d, s
+        own, n = b.ids[b.doc], len(b.h)
+        key = _place_key(own, b.start, b.h)
+        # what settles a window, where something does: the start of a run, the one before it, its own node, an earlier one in the block
+        settled, verdict = np.ones(n, bool), np.zeros(n, bool)
+        settled[1:] = (b.doc[1:] != b.doc[:-1]) | (b.start[1:] != b.start[:-1] + 1)
+        for kind in (_BEHIND, _HEAD):
+            t = notes.filter(pc.equal(notes.column("kind"), kind))
+            if n and t.num_rows:
+                keys = _place_key(t.column("a").to_numpy(), t.column("at").to_numpy(), t.column("h").to_numpy().view(bw.U64))
+                order = np.argsort(keys)
+                at = order[np.minimum(np.searchsorted(keys[order], key), len(keys) - 1)]
+                hit = keys[at] == key
+                verdict[hit] = t.column("dup").to_numpy(zero_copy_only=False).astype(bool)[at[hit]]
+                settled |= hit
+        settled |= b.later
+        verdict |= b.later
+        repeat = verdict[np.maximum.accumulate(np.where(settled, np.arange(n), 0))] if n else verdict
         first_of = np.searchsorted(b.doc, np.arange(len(b.ids) + 1))
         out = []
         for d, text in enumerate(b.docs.column("text").to_pylist()):
