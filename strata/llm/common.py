@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -67,5 +68,7 @@ class Scratch:
         self.made += 1
         df.write.parquet(path)
         # what the write shuffled is of no more use; Spark's cleaner removes it once the driver has collected its garbage
-        self.spark.sparkContext._jvm.System.gc()
+        for _ in range(2):
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
