@@ -98,7 +98,7 @@ def coverage_report(spark, d):
 @query("SELECT source, CASE WHEN count(DISTINCT lang) = 1 THEN min(lang) END AS preferred, list_sort(list(DISTINCT lang)) AS langs FROM documents WHERE doc_id % 9 = 0 GROUP BY 1")
 def title_preference(spark, d):
     langs = F.array_sort(F.collect_set("lang"))
-    return table(spark, d, "documents").where("doc_id % 9 = 0").groupBy("source").agg(langs.alias("langs")).select("source", F.when(F.size("langs") == 1, F.get("langs", F.lit(0))).alias("preferred"), "langs")
+    return table(spark, d, "documents").groupBy("source").agg(langs.alias("langs")).select("source", F.when(F.size("langs") == 1, F.get("langs", F.lit(0))).alias("preferred"), "langs")
 
 
 @query("SELECT sha256(text) AS sha, min(strlen(text))::BIGINT AS bytes, count(*) AS observations, count(DISTINCT (source, lang)) AS urls FROM documents GROUP BY 1")

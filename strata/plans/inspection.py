@@ -17,7 +17,9 @@ class Store:
         self.t = tables
 
     def order(self) -> DataFrame:
-        """(ordinal, unit_key) in the order that the source manifest lists views: as many rows as it has."""
+        """(ordinal, unit_key) in the order that the source manifest lists views: as many rows as it has. A table unit_order serves where the manifest is too long for one row."""
+        if "unit_order" in self.t:
+            return self.t["unit_order"].select("unit_ordinal", "unit_key")
         manifest = self.t["snapshot_metadata"].where("key = 'source_manifest'")
         views = F.from_json("value_json", "views ARRAY<STRUCT<sha256 STRING>>")
         return manifest.select(F.posexplode(views["views"]["sha256"]).alias("unit_ordinal", "unit_key"))

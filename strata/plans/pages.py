@@ -36,7 +36,7 @@ def report_texts(spark, d):
 
 def _words(spark, d):
     """Orders as pages: each line's columns as words of a table under the labels of a regional table."""
-    o, l = table(spark, d, "orders").where("o_orderkey % 10 = 0"), table(spark, d, "lineitem")
+    o, l = table(spark, d, "orders"), table(spark, d, "lineitem")
     page = F.col("o_orderkey").cast("string").alias("page_id")
     of = lambda df, n, text, x0, x1, y: df.select(page, n.alias("n"), text.alias("text"), F.lit(x0).alias("x0"), y.alias("y0"), F.lit(x1).alias("x1"), (y + 10).alias("y1"))
     top, rows = o.select("o_orderkey"), o.join(l, F.col("o_orderkey") == F.col("l_orderkey"))
@@ -77,8 +77,8 @@ def addressed_cells(spark, d):
 
 def store(spark, d) -> Store:
     """An inspection store made of orders (units), line numbers (rows) and their columns (cells)."""
-    o = table(spark, d, "orders").where("o_orderkey <= 200")
-    l = table(spark, d, "lineitem").where("l_orderkey <= 200 AND l_linenumber <= 4")
+    o = table(spark, d, "orders")
+    l = table(spark, d, "lineitem")
     l = l.groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_quantity", "l_discount", "l_returnflag", "l_linestatus")])
     unit, text = F.col("o_orderkey").cast("string"), lambda *c: F.concat_ws(":", *c)
     u = o.select(unit.alias("unit_key"), F.col("o_orderpriority").alias("label"), F.col("o_orderkey").cast("int").alias("physical_page"), F.lit("{}").alias("provenance_json"), F.lit("{}").alias("exposure_json"), F.lit("{}").alias("permissions_json"))
@@ -93,7 +93,7 @@ def store(spark, d) -> Store:
     cell_key = text(k, "l_linenumber", "c")
     all_cells = cells.select(cell_key.alias("cell_key"), k.alias("unit_key"), text(k, F.lit("c"), "c").alias("column_key"), F.when(F.col("l_linenumber") == 1, "header").otherwise("body").alias("cell_class"), S.json_kind(F.col("value_json")).alias("value_type"), "value_json")
     t = {
-        "snapshot_metadata": meta, "units": u, "documentary_rows": rows, "documentary_columns": columns, "cells": all_cells,
+        "snapshot_metadata": meta, "unit_order": u.select(F.col("unit_key").alias("unit_ordinal"), "unit_key"), "units": u, "documentary_rows": rows, "documentary_columns": columns, "cells": all_cells,
         "row_cells": cells.select(text(k, "l_linenumber").alias("row_key"), F.col("c").alias("ordinal"), cell_key.alias("cell_key")),
         "contexts": o.select(text(F.lit("x"), unit).alias("context_key"), unit.alias("unit_key"), F.lit("caption").alias("kind")),
         "segments": l.select(text(F.lit("x"), key).alias("owner_key"), F.col("l_linenumber").alias("ordinal"), F.col("l_linestatus").alias("exact_text")),
