@@ -1,11 +1,11 @@
 """Benchmark passages in documents, re-parameterised ones included, by template canonicalisation.
 
-Numbers, units after numbers, and names (capitalised words inside a sentence)
-become typed placeholders.  Windows of ``window`` consecutive template words of
+Numbers, units after numbers, and names (capitalised words inside a sentence,
+and the same words where a sentence starts) become typed placeholders; the
+lower-cased words are looked up as they are, too.  Windows of ``window`` consecutive template words of
 the benchmark meet those of the documents in a hash join.  Where an item has
 placeholders, the values that its slots take in the document must be
-consistent: one value of the item always becomes the same value, and different
-values become different ones.
+consistent: one value of the item always becomes the same value.
 
 All of it is DataFrame functions.
 """
@@ -33,29 +33,60 @@ UNITS = (
     "mph kmh kph c f k celsius fahrenheit kelvin dollar dollars usd euro euros eur gbp cent cents percent % b kb mb gb tb hz khz mhz ghz w kw v a j n pa"
 ).split()
 
-_NAME, _NUMBER, _UNIT, _POINT = "\x01", "\x02", "\x03", "\x04"
+#: Kinds of windows: typed placeholders, those with known names at sentence starts as well, and lower-cased words.
+_TYPED, _KNOWN, _PLAIN = 0, 1, 2
+
+_NAME, _NUMBER, _UNIT, _POINT, _START = "\x01", "\x02", "\x03", "\x04", "\x05"
 _NAME_AT = r"(\p{Lu}(?<=[^.!?:…\x20\x09-\x0D][\x20\x09-\x0D].)\p{Ll}[\p{L}\p{N}]*)"
+_START_AT = rf"((?<![\p{{L}}\p{{N}}{_NAME}])\p{{Lu}}\p{{Ll}}[\p{{L}}\p{{N}}]*)"
 _POINT_AT = r"(?<=\p{N})[.,:/](?=\p{N})"
 _NUMBER_AT = rf"(\p{{N}}[\p{{N}}{_POINT}]*)"
 
 
-def template(text: Column, values: bool = False) -> Column:
-    """The text's template, its words parted by single blanks; with ``values``, each placeholder is followed by what it stands for."""
-    own = "$1" if values else ""
-    t = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), _NAME_AT, f"{_NAME}{own}"))
-    words = lambda t: F.regexp_replace(t, rf"[^\p{{L}}\p{{N}}%{_NAME}-{_POINT}]+", " ")
-    n = F.regexp_replace(F.regexp_replace(t, _POINT_AT, _POINT), _NUMBER_AT, f" {_NUMBER}{own} ")
+def valued(text: Column) -> Column:
+    """The text's words, lower-cased; each placeholder is its mark and what it stands for, a capitalised word that may start a sentence is marked, too."""
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), _NAME_AT, f"{_NAME}$1")
+    t = F.lower(F.regexp_replace(t, _START_AT, f"{_START}$1"))
+    words = lambda t: F.regexp_replace(t, rf"[^\p{{L}}\p{{N}}%{_NAME}-{_START}]+", " ")
+    n = F.regexp_replace(F.regexp_replace(t, _POINT_AT, _POINT), _NUMBER_AT, f" {_NUMBER}$1 ")
     n = F.concat(words(n), F.lit(" "))
-    before = rf"({_NUMBER}[^ ]* +)" if values else rf"({_NUMBER} +)"
-    n = F.regexp_replace(n, rf"{before}({'|'.join(UNITS)}) ", f"$1{_UNIT}{'$2' if values else ''} ")
+    n = F.regexp_replace(n, rf"({_NUMBER}[^ ]* +)({'|'.join(UNITS)}) ", f"$1{_UNIT}$2 ")
     n = F.regexp_replace(n, " +", " ")
-    return F.trim(F.when(t.rlike(r"\p{N}"), n).otherwise(words(t)))  # few texts pay for the steps on numbers
+    return _words(F.trim(F.when(t.rlike(r"\p{N}"), n).otherwise(words(t))))  # few texts pay for the steps on numbers
+
+
+def _is_slot(w: Column) -> Column:
+    return w.rlike(f"^[{_NAME}-{_UNIT}]")
+
+
+def templates(df: DataFrame, v: str) -> DataFrame:
+    """Adds plain (the words alone), template (names inside sentences are placeholders) and known (words that are such names are placeholders where sentences start, too)."""
+    df = df.withColumn("names", F.array_distinct(F.filter(v, lambda w: w.startswith(_NAME))))
+    df = df.withColumn("plain", F.transform(v, lambda w: F.translate(w, _NAME + _NUMBER + _UNIT + _START, "")))
+    df = df.withColumn("template", F.transform(v, lambda w: F.when(_is_slot(w), F.substring(w, 1, 1)).otherwise(F.translate(w, _START, ""))))
+    start = lambda w, i: F.when(w.startswith(_START) & F.array_contains("names", F.concat(F.lit(_NAME), F.substring(w, 2, 1 << 30))), F.lit(_NAME)).otherwise(F.get("template", i))
+    known = F.when((F.size("names") > 0) & F.exists(v, lambda w: w.startswith(_START)), F.transform(v, start)).otherwise(F.col("template"))
+    return df.withColumn("known", known).drop("names")
+
+
+def _hash(words: Column, at: Column, n: int) -> Column:
+    return F.xxhash64(*[F.get(words, at + k) for k in range(n)])
+
+
+def _starts(words: Column, n: int) -> Column:
+    """The places where windows of ``n`` words start."""
+    return F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.array().cast("array<int>"))
+
+
+def _around(marks: Column, words: Column, n: int) -> Column:
+    """The starts of the windows that hold one of the places ``marks``."""
+    last = F.size(words) - n
+    near = F.transform(marks, lambda m: F.filter(F.sequence(m - (n - 1), m), lambda i: (i >= 0) & (i <= last)))
+    return F.array_distinct(F.flatten(near))
 
 
-def _hashes(words: Column, window: int) -> Column:
-    """The hash of each window of ``words``; an empty array for fewer words."""
-    own = lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(window)])
-    return F.when(F.size(words) >= window, F.transform(F.sequence(F.lit(0), F.size(words) - window), own)).otherwise(F.array().cast("array<bigint>"))
+def _hashed(starts: Column, words: Column, n: int) -> Column:
+    return F.transform(starts, lambda i: F.struct(i.alias("place"), _hash(words, i, n).alias("h")))
 
 
 def _words(t: Column) -> Column:
@@ -74,52 +105,62 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDO
     that share an id stand for themselves and copies of a row are one.  Items of
     equal id and text are one.  Null texts, and texts of fewer words than a
     window, contain nothing and are contained nowhere; null ids are kept.
-    Windows with fewer than ``LITERAL`` words that are no placeholders are not
-    looked up.  Other columns are not read.
+    Windows with fewer than ``LITERAL`` words that are no placeholders are
+    looked up as plain words only.  Other columns are not read.
 
     Returns doc_id, text_hash, item_id, matched (windows found), windows (of the item), share.
     """
     scratch = Scratch(documents.sparkSession)
-    items = benchmark.select("item_id", "text").distinct().withColumns({"valued": _words(template(F.col("text"), True)), "words": _words(template(F.col("text")))})
-    items = items.select("item_id", F.xxhash64("text").alias("item_hash"), "valued", "words", _hashes(F.col("words"), window).alias("hashes"))
-    placed = items.select("item_id", "item_hash", "words", F.posexplode("hashes").alias("at", "h"))
-    literal = F.size(F.filter(F.slice("words", F.col("at") + 1, window), lambda w: ~w.rlike("^[\x01-\x03]")))
-    wanted = placed.where(literal >= LITERAL).select("item_id", "item_hash", "at", "h")
-    wanted = scratch.keep(wanted)
-    sizes = wanted.groupBy("item_id", "item_hash").agg(F.count("*").alias("windows"))
-
-    words = documents.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), _words(template(F.col("text"))).alias("words"))
-    seen = words.select("doc_id", "text_hash", F.posexplode(_hashes(F.col("words"), window)).alias("place", "h"))
+    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
+    items = templates(benchmark.select("item_id", "text").distinct().select("item_id", F.xxhash64("text").alias("item_hash"), valued(F.col("text")).alias("valued")), "valued")
+    literal = lambda words, i: F.size(F.filter(F.slice(words, i + 1, window), lambda w: ~_is_slot(w))) >= LITERAL
+    rows = lambda kind, words, ok: F.transform(F.filter(_starts(F.col("plain"), window), ok), lambda i: F.struct(F.lit(kind).alias("kind"), i.alias("at"), _hash(words, i, window).alias("h")))
+    typed = lambda i: literal("template", i)
+    none = F.array().cast("array<struct<kind:int,at:int,h:bigint>>")
+    known = F.when(F.col("known") != F.col("template"), rows(_KNOWN, F.col("known"), lambda i: literal("known", i))).otherwise(none)
+    wanted = F.concat(rows(_TYPED, F.col("template"), typed), rows(_TYPED, F.col("plain"), typed), known, rows(_PLAIN, F.col("plain"), lambda i: i >= 0))
+    wanted = scratch.keep(items.select("item_id", "item_hash", F.inline(F.array_distinct(wanted))))
+    sizes = wanted.groupBy("item_id", "item_hash", "kind").agg(F.countDistinct("at").alias("windows"))
+
+    words = templates(documents.select("doc_id", text_hash.alias("text_hash"), valued(F.col("text")).alias("valued")), "valued")
+    marks = lambda a, b: F.array_compact(F.transform(a, lambda w, i: F.when(w != F.get(b, i), i)))
+    words = words.withColumns({"slots": marks("plain", F.col("template")), "more": marks("known", F.col("template"))}).withColumns({"slots": _around(F.col("slots"), F.col("plain"), window), "more": _around(F.col("more"), F.col("plain"), window)})
+    own = F.concat(_hashed(_starts(F.col("template"), window), F.col("template"), window), _hashed(F.col("slots"), F.col("plain"), window), _hashed(F.col("more"), F.col("known"), window))
+    seen = words.select("doc_id", "text_hash", F.inline(own))
     met = seen.join(_sent(wanted, wanted.count()), "h")
-    lines = met.groupBy("doc_id", "text_hash", "item_id", "item_hash", (F.col("place") - F.col("at")).alias("shift")).agg(F.collect_set("at").alias("at"))
+    lines = met.groupBy("doc_id", "text_hash", "item_id", "item_hash", "kind", (F.col("place") - F.col("at")).alias("shift")).agg(F.collect_set("at").alias("at"))
     lines = scratch.keep(lines)
 
-    slotted = items.where(F.exists("valued", lambda w: w.rlike("^[\x01-\x03]"))).select("item_id", "item_hash", "valued")
+    slotted = items.where(F.exists("known", _is_slot)).select("item_id", "item_hash", "plain", "template", "known")
     n = wanted.select("item_id", "item_hash").distinct().count()
-    doubtful = lines.join(_sent(slotted, n), (lines.item_hash == slotted.item_hash) & lines.item_id.eqNullSafe(slotted.item_id), "left_semi")
+    doubtful = lines.where(F.col("kind") != _PLAIN).join(_sent(slotted, n), (lines.item_hash == slotted.item_hash) & lines.item_id.eqNullSafe(slotted.item_id), "left_semi")
     looked = doubtful.select("doc_id", "text_hash").distinct()
-    texts = documents.select(F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"), "text")
+    texts = documents.select(F.col("doc_id").alias("id"), text_hash.alias("hash"), "text")
     looked = texts.join(_sent(looked, doubtful.count()), (F.col("hash") == F.col("text_hash")) & F.col("id").eqNullSafe(F.col("doc_id")), "left_semi").dropDuplicates(["id", "hash"])
-    looked = looked.select("id", "hash", _words(template(F.col("text"), True)).alias("own"))
+    looked = templates(looked.select("id", "hash", valued(F.col("text")).alias("valued")), "valued").select("id", "hash", F.col("plain").alias("own"))
     a, b = doubtful.alias("a"), slotted.alias("b")
     pairs = a.join(b, (F.col("a.item_hash") == F.col("b.item_hash")) & F.col("a.item_id").eqNullSafe(F.col("b.item_id"))).join(looked, (F.col("hash") == F.col("text_hash")) & F.col("id").eqNullSafe(F.col("doc_id")))
+    pairs = pairs.withColumn("marked", F.when(F.col("kind") == _KNOWN, F.col("known")).otherwise(F.col("template")))
     slots = F.filter(
-        F.transform(F.col("valued"), lambda w, i: F.struct(w.alias("w"), F.get(F.col("own"), i + F.col("shift")).alias("v"), F.exists("at", lambda s: (s <= i) & (i < s + window)).alias("held"))),
-        lambda s: s["held"] & s["w"].rlike("^[\x01-\x03]"),
+        F.transform(F.col("marked"), lambda m, i: F.struct(m.alias("m"), F.concat(m, F.get("plain", i)).alias("w"), F.get(F.col("own"), i + F.col("shift")).alias("v"), F.exists("at", lambda s: (s <= i) & (i < s + window)).alias("held"))),
+        lambda s: s["held"] & _is_slot(s["m"]),
     )
-    pairs = pairs.select(F.col("a.item_id"), F.col("a.item_hash"), "doc_id", "text_hash", "shift", F.array_distinct(F.transform(slots, lambda s: F.struct(s["w"], s["v"]))).alias("s"))
-    n_of = lambda f: F.size(F.array_distinct(F.transform("s", lambda s: s[f])))
-    broken = pairs.where((n_of("w") != F.size("s")) | (n_of("v") != F.size("s"))).select("doc_id", "text_hash", "item_id", "item_hash", "shift")
+    pairs = pairs.select(F.col("a.item_id"), F.col("a.item_hash"), "doc_id", "text_hash", "kind", "shift", F.array_distinct(F.transform(slots, lambda s: F.struct(s["w"], s["v"]))).alias("s"))
+    broken = pairs.where(F.size(F.array_distinct(F.transform("s", lambda s: s["w"]))) != F.size("s"))
+    # what breaks the placeholders of a line takes its plain windows along
+    broken = broken.select("doc_id", "text_hash", "item_id", "item_hash", "shift", F.explode(F.when(F.col("kind") == _TYPED, F.array(F.lit(_TYPED), F.lit(_PLAIN))).otherwise(F.array(F.col("kind")))).alias("kind"))
     l, r = lines.alias("l"), broken.alias("r")
     same = F.lit(True)
-    for c in ("text_hash", "item_hash", "shift"):
+    for c in ("text_hash", "item_hash", "kind", "shift"):
         same = same & (F.col(f"l.{c}") == F.col(f"r.{c}"))
     kept = l.join(r, same & F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & F.col("l.item_id").eqNullSafe(F.col("r.item_id")), "left_anti")
 
-    found = kept.select("doc_id", "text_hash", "item_id", "item_hash", F.explode("at").alias("at")).distinct().groupBy("doc_id", "text_hash", "item_id", "item_hash").agg(F.count("*").alias("matched"))
+    found = kept.select("doc_id", "text_hash", "item_id", "item_hash", "kind", F.explode("at").alias("at")).distinct().groupBy("doc_id", "text_hash", "item_id", "item_hash", "kind").agg(F.count("*").alias("matched"))
     f, s = found.alias("f"), _sent(sizes, n).alias("s")
-    out = f.join(s, (F.col("f.item_hash") == F.col("s.item_hash")) & F.col("f.item_id").eqNullSafe(F.col("s.item_id")))
-    return out.select("doc_id", "text_hash", F.col("f.item_id"), "matched", "windows", (F.col("matched") / F.col("windows")).alias("share")).where(F.col("share") >= share)
+    out = f.join(s, (F.col("f.item_hash") == F.col("s.item_hash")) & F.col("f.item_id").eqNullSafe(F.col("s.item_id")) & (F.col("f.kind") == F.col("s.kind")))
+    out = out.select("doc_id", "text_hash", F.col("f.item_id"), F.col("f.item_hash"), F.struct((F.col("matched") / F.col("windows")).alias("share"), "matched", "windows").alias("best"))
+    out = out.groupBy("doc_id", "text_hash", "item_id", "item_hash").agg(F.max("best").alias("best")).where(F.col("best.share") >= share)
+    return out.select("doc_id", "text_hash", "item_id", "best.matched", "best.windows", "best.share")
 
 
 def flags(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE) -> DataFrame:

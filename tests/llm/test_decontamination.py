@@ -35,3 +35,14 @@ def test_edges(spark):
     want = [(None, True, 3, 4), (1, False, 0, None), (1, False, 0, None), (1, True, 3, 4), (2, True, 3, 4), (2, True, 3, 4), (3, False, 0, None), (4, False, 0, None)]
     assert run(spark, texts, items) == sorted(want, key=str)
     assert run(spark, texts[:1], [])[0][1] is False
+
+
+def test_names_at_sentence_starts(spark):
+    tom = "Tom has 3 apples. Tom buys 5 more apples. How many apples does Tom have?"
+    sam = tom.replace("Tom", "Sam").replace("3", "4").replace("5", "9")
+    assert [r[1] for r in run(spark, [(1, sam), (2, sam.replace("Sam buys", "Ann buys"))], [(7, tom)])] == [True, False]
+
+
+def test_case_and_merged_values(spark):
+    texts = [(1, "say " + ITEM.lower()), (2, ITEM.upper()), (3, ITEM.replace("30", "12"))]
+    assert [r[1] for r in run(spark, texts, [(7, ITEM)])] == [True] * 3
