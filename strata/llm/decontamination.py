@@ -21,6 +21,8 @@ from .common import Scratch, table
 WINDOW = 8
 #: Words of a window that must not be placeholders.
 LITERAL = 4
+#: Consecutive words of an item from which a document contains the item, whatever their share.
+RUN = 20
 #: Share of an item's windows from which a document contains the item.
 SHARE = 0.5
 #: Rows up to which the benchmark's windows, or the documents to look at again, are sent to all tasks; beyond, joins shuffle.
@@ -99,12 +101,13 @@ def _sent(df: DataFrame, rows: int) -> DataFrame:
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE) -> DataFrame:
-    """The benchmark items that each document contains, in whole or for ``share`` of their windows at least.
+    """The benchmark items that each document contains, in whole, for ``share`` of their windows at least or for ``RUN`` consecutive words.
 
     A row of ``documents`` is known by doc_id and its text's hash, so rows
     that share an id stand for themselves and copies of a row are one.  Items of
-    equal id and text are one.  Null texts, and texts of fewer words than a
-    window, contain nothing and are contained nowhere; null ids are kept.
+    equal id and text are one; those of fewer words than a window are looked up
+    whole, as plain words.  Texts without words contain nothing and are
+    contained nowhere; null ids are kept.
     Windows with fewer than ``LITERAL`` words that are no placeholders are
     looked up as plain words only.  Other columns are not read.
 
@@ -116,9 +119,15 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDO
     literal = lambda words, i: F.size(F.filter(F.slice(words, i + 1, window), lambda w: ~_is_slot(w))) >= LITERAL
     rows = lambda kind, words, ok: F.transform(F.filter(_starts(F.col("plain"), window), ok), lambda i: F.struct(F.lit(kind).alias("kind"), i.alias("at"), _hash(words, i, window).alias("h")))
     typed = lambda i: literal("template", i)
-    none = F.array().cast("array<struct<kind:int,at:int,h:bigint>>")
+    none_type = "array<struct<kind:int,at:int,h:bigint>>"
+    none = F.array().cast(none_type)
     known = F.when(F.col("known") != F.col("template"), rows(_KNOWN, F.col("known"), lambda i: literal("known", i))).otherwise(none)
     wanted = F.concat(rows(_TYPED, F.col("template"), typed), rows(_TYPED, F.col("plain"), typed), known, rows(_PLAIN, F.col("plain"), lambda i: i >= 0))
+    few = [r.n for r in items.select(F.size("plain").alias("n")).where(F.col("n").between(1, window - 1)).distinct().collect()]  # fewer than window
+    whole = F.lit(None)
+    for k in few:
+        whole = F.when(F.size("plain") == k, F.array(F.struct(F.lit(_PLAIN).alias("kind"), F.lit(0).alias("at"), _hash(F.col("plain"), F.lit(0), k).alias("h")))).otherwise(whole)
+    wanted = F.concat(wanted, F.coalesce(whole.cast(none_type), none))
     wanted = scratch.keep(items.select("item_id", "item_hash", F.inline(F.array_distinct(wanted))))
     sizes = wanted.groupBy("item_id", "item_hash", "kind").agg(F.countDistinct("at").alias("windows"))
 
@@ -126,6 +135,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDO
     marks = lambda a, b: F.array_compact(F.transform(a, lambda w, i: F.when(w != F.get(b, i), i)))
     words = words.withColumns({"slots": marks("plain", F.col("template")), "more": marks("known", F.col("template"))}).withColumns({"slots": _around(F.col("slots"), F.col("plain"), window), "more": _around(F.col("more"), F.col("plain"), window)})
     own = F.concat(_hashed(_starts(F.col("template"), window), F.col("template"), window), _hashed(F.col("slots"), F.col("plain"), window), _hashed(F.col("more"), F.col("known"), window))
+    own = F.concat(own, *[_hashed(_starts(F.col("plain"), k), F.col("plain"), k) for k in few])
     seen = words.select("doc_id", "text_hash", F.inline(own))
     met = seen.join(_sent(wanted, wanted.count()), "h")
     lines = met.groupBy("doc_id", "text_hash", "item_id", "item_hash", "kind", (F.col("place") - F.col("at")).alias("shift")).agg(F.collect_set("at").alias("at"))
@@ -149,17 +159,24 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDO
     broken = pairs.where(F.size(F.array_distinct(F.transform("s", lambda s: s["w"]))) != F.size("s"))
     # what breaks the placeholders of a line takes its plain windows along
     broken = broken.select("doc_id", "text_hash", "item_id", "item_hash", "shift", F.explode(F.when(F.col("kind") == _TYPED, F.array(F.lit(_TYPED), F.lit(_PLAIN))).otherwise(F.array(F.col("kind")))).alias("kind"))
+    # a long verbatim run holds whatever else its line says
+    reach = RUN - window
+    runs = lambda at: F.exists(F.transform(at, lambda a, i: F.get(at, i + reach) - a), lambda d: d == reach)
+    runs = lines.where((F.col("kind") == _PLAIN) & (F.size("at") > reach) & runs(F.sort_array("at"))) if reach >= 0 else lines.limit(0)
+    runs = runs.select("doc_id", "text_hash", "item_id", "item_hash", "kind", "shift", "at", F.lit(True).alias("run"))
     l, r = lines.alias("l"), broken.alias("r")
     same = F.lit(True)
     for c in ("text_hash", "item_hash", "kind", "shift"):
         same = same & (F.col(f"l.{c}") == F.col(f"r.{c}"))
     kept = l.join(r, same & F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & F.col("l.item_id").eqNullSafe(F.col("r.item_id")), "left_anti")
 
-    found = kept.select("doc_id", "text_hash", "item_id", "item_hash", "kind", F.explode("at").alias("at")).distinct().groupBy("doc_id", "text_hash", "item_id", "item_hash", "kind").agg(F.count("*").alias("matched"))
+    kept = kept.withColumn("run", F.lit(False)).unionByName(runs)
+    of = ["doc_id", "text_hash", "item_id", "item_hash", "kind"]
+    found = kept.select(*of, "run", F.explode("at").alias("at")).groupBy(*of, "at").agg(F.max("run").alias("run")).groupBy("doc_id", "text_hash", "item_id", "item_hash", "kind").agg(F.count("*").alias("matched"), F.max("run").alias("run"))
     f, s = found.alias("f"), _sent(sizes, n).alias("s")
     out = f.join(s, (F.col("f.item_hash") == F.col("s.item_hash")) & F.col("f.item_id").eqNullSafe(F.col("s.item_id")) & (F.col("f.kind") == F.col("s.kind")))
-    out = out.select("doc_id", "text_hash", F.col("f.item_id"), F.col("f.item_hash"), F.struct((F.col("matched") / F.col("windows")).alias("share"), "matched", "windows").alias("best"))
-    out = out.groupBy("doc_id", "text_hash", "item_id", "item_hash").agg(F.max("best").alias("best")).where(F.col("best.share") >= share)
+    out = out.select("doc_id", "text_hash", F.col("f.item_id"), F.col("f.item_hash"), F.struct((F.col("matched") / F.col("windows")).alias("share"), "matched", "windows").alias("best"), "run")
+    out = out.groupBy("doc_id", "text_hash", "item_id", "item_hash").agg(F.max("best").alias("best"), F.max("run").alias("run")).where((F.col("best.share") >= share) | F.col("run"))
     return out.select("doc_id", "text_hash", "item_id", "best.matched", "best.windows", "best.share")
 
 

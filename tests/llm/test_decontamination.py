@@ -46,3 +46,15 @@ def test_names_at_sentence_starts(spark):
 def test_case_and_merged_values(spark):
     texts = [(1, "say " + ITEM.lower()), (2, ITEM.upper()), (3, ITEM.replace("30", "12"))]
     assert [r[1] for r in run(spark, texts, [(7, ITEM)])] == [True] * 3
+
+
+def test_short_and_placeholder_heavy_items(spark):
+    sum_ = "Compute 12 * 7 + 5 - 3 * 14 / 2 + 9 = ?"
+    texts = [(1, "x " + sum_ + " y"), (2, "so what is nine times six ?"), (3, "nine times"), (4, sum_.replace("14", "15"))]
+    assert [r[1] for r in run(spark, texts, [(7, sum_), (8, "What is nine times six")])] == [True, True, False, False]
+
+
+def test_long_verbatim_run(spark):
+    item = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(59)]
+    texts = [(1, "x " + " ".join(item[10:30]) + " y"), (2, " ".join(item[10:29]))]
+    assert [r[1] for r in run(spark, texts, [(7, " ".join(item))])] == [True, False]
