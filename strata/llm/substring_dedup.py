@@ -30,6 +30,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -90,12 +91,22 @@ def _summary_rows(window: int):
                 w = (t or "").encode().split()
                 if len(w) >= window:
                     ids.append(i)
-                    shas.append(hashlib.sha256(b" ".join(w)).digest())
+                    shas.append(_sha(w))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(shas, pa.binary())], names=["doc_id", "sha"])
 
     return bw.giving_back(rows)
 
 
+def _sha(words: list[bytes]) -> bytes:
+    return hashlib.sha256(b" ".join(words)).digest()
+
+
+def _words_key(text: str | None) -> int:
+    """What Spark's xxhash64 makes of the digest of a text's words."""
+    h = xxhash.xxh64_intdigest(_sha((text or "").encode().split()), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 class _Block:
     """The candidate windows of a block's documents, in the order of (document, start)."""
 
@@ -103,11 +114,15 @@ class _Block:
         kind = notes.column("kind").to_numpy()
         a = notes.column("a").to_numpy()
         known = np.sort(a[kind == _ANCHOR].view(bw.U64))
-        copies = set(a[kind == _COPY].tolist())
+        h = notes.column("h").fill_null(0).to_numpy()
+        copies = set(zip(a[kind == _COPY].tolist(), h[kind == _COPY].tolist()))
+        copied = {i for i, _ in copies}
         ids = docs.column("doc_id").fill_null(NO_ID).to_numpy()
         order = np.argsort(ids, kind="stable")
         self.ids, self.docs = ids[order], docs.take(pa.array(order))
-        self.copy = np.array([int(i) in copies for i in self.ids], bool)
+        # rows may share an id, so a copy is told by its words, too
+        texts = self.docs.column("text")
+        self.copy = np.array([int(i) in copied and (int(i), _words_key(texts[k].as_py())) in copies for k, i in enumerate(self.ids)], bool)
         doc, start, h, before, after = [], [], [], [], []
         for lo, hi, raw, offsets in bw.chunks(self.docs.column("text")):
             s, e, first = bw.words(raw, offsets)
@@ -233,9 +248,9 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, anchor: int = ANC
     often = found.withColumn("all", F.sum("n").over(Window.partitionBy("a"))).where("all > 1").select("block", "a").distinct()
     summary = docs.mapInArrow(_summary_rows(window), "doc_id long, sha binary")
     firsts = summary.groupBy("sha").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.count("doc_id").alias("m")).where("n > 1 and n = m").select("sha", "least")
-    copies = summary.join(firsts, "sha").where("doc_id > least").select(block_of(F.col("doc_id"), blocks).alias("block"), F.col("doc_id").alias("a")).distinct()
-    note = lambda df, kind: df.select("block", F.lit(kind).alias("kind"), "a", *[F.lit(None).cast(t).alias(n) for n, t in (("at", "long"), ("h", "long"), ("dup", "boolean"))])
-    notes = scratch.keep(note(often, _ANCHOR).unionByName(note(copies, _COPY)))
+    copies = summary.join(firsts, "sha").where("doc_id > least").select(block_of(F.col("doc_id"), blocks).alias("block"), F.col("doc_id").alias("a"), F.xxhash64("sha").alias("h")).distinct()
+    note = lambda df, kind, h=F.lit(None): df.select("block", F.lit(kind).alias("kind"), "a", F.lit(None).cast("long").alias("at"), h.cast("long").alias("h"), F.lit(None).cast("boolean").alias("dup"))
+    notes = scratch.keep(note(often, _ANCHOR).unionByName(note(copies, _COPY, F.col("h"))))
 
     rows = docs.groupBy("block").cogroup(notes.groupBy("block")).applyInArrow(_window_rows(window, anchor), "h long, doc_id long, at long, next long")
     rows = rows.repartition("h")  # once, packed: both windows below are on its key

@@ -77,3 +77,11 @@ def test_edges(spark):
     df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, block int, h string")
     assert rows_of(remove_repeats(df)) == brute(rows, 20)
     assert remove_repeats(df.limit(0)).collect() == []
+
+
+def test_a_copy_and_another_text_share_an_id(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(30)) for x in "ab")
+    docs = spark.createDataFrame([(1, a), (2, a), (2, b)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_removed, r.kept_sha256) for r in remove_repeats(docs).collect())
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got == sorted([(1, 0, sha(a)), (2, 30, sha("")), (2, 0, sha(b))])
