@@ -31,8 +31,6 @@ from .tokens import CACHE, slices, texts_of, tokenizer
 LIMIT = 4096
 #: The id that ends each document.
 END = 1
-#: Combinations that one gap may try before its length waits for best fit.
-TRIES = 64
 #: Parts that the pieces of one length are numbered in.
 PARTS = 256
 
@@ -166,25 +164,27 @@ def plan(counts: dict[int, int], limit: int = LIMIT) -> list[tuple[tuple[int, ..
             return np.zeros(0, np.int64)
         return (np.flatnonzero(there[least : half + 1] & there[total - half : total - least + 1][::-1]) + least)[::-1]
 
-    def fill(n: int, tries: int) -> None:
+    def fill(n: int) -> None:  # each combination that is used ends the supply of a length, so there are few
         gap = limit - n
         if there[gap]:
             use(n, gap)
         for a in pairs(gap).tolist():
-            if not there[n] or not tries:
+            if not there[n]:
                 return
-            tries -= use(n, gap - a, a)
+            use(n, gap - a, a)
         for a in np.flatnonzero(there[1 : gap // 3 + 1])[::-1].tolist():
-            for b in pairs(gap - a - 1, a + 1).tolist()[:1]:
-                if not there[n] or not tries:
+            for b in pairs(gap - a - 1, a + 1).tolist():
+                if not there[n]:
                     return
-                tries -= use(n, gap - a - 1 - b, b, a + 1)
+                if not there[a + 1]:
+                    break
+                use(n, gap - a - 1 - b, b, a + 1)
 
     if there[limit]:
         use(limit)
     for n in range(limit - 1, 0, -1):
         if there[n]:
-            fill(n, TRIES)
+            fill(n)
     return out + _best_fit({n: int(left[n]) for n in np.flatnonzero(there).tolist()}, limit)
 
 

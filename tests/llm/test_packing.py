@@ -65,3 +65,8 @@ def test_edges(spark):
     df = spark.createDataFrame([(i, t, 5, "z") for i, t in rows], "doc_id long, text string, length int, part string")
     check(rows, pack(df, PATH, limit=64).collect(), 64)
     assert pack(df.limit(0), PATH).collect() == []
+
+
+def test_all_exact_fills_are_used():
+    counts = {60: 3, 59: 3, 2: 50, 23: 50, 29: 2, 7: 50, 3: 50, 41: 3, 47: 50, 56: 1, 1: 2, 32: 50, 9: 3, 35: 2, 30: 3, 21: 2, 12: 3, 44: 50, 8: 3, 34: 50, 51: 2, 57: 2, 5: 2}
+    assert sum(n for _, n in plan(counts, 60)) == 219  # 220 with one pair for each shortest member
