@@ -2,7 +2,7 @@
 
 Every line of a file is compared with the templates as a vector of word counts
 weighted by inverse document frequency, which is counted over all files for the
-templates' words; a word of no template weighs as one that no file has.  A
+words of the templates and of all lines that are compared.  A
 line can reach the threshold for a template only if it has one of the template's
 heaviest words: without those the rest is too short a vector (Cauchy-Schwarz).
 So lines without any such word are passed over, and no match is lost.
@@ -65,15 +65,15 @@ def words(text: Column) -> Column:
     return F.filter(F.split(t, " "), lambda w: w != "")
 
 
-def _weights(files: DataFrame, templates) -> tuple[dict[str, float], float]:
-    """The inverse document frequency of each word of the templates, and that of any other word."""
+def _weights(files: DataFrame, templates) -> tuple[dict[str, float], int]:
+    """The inverse document frequency of each word of the templates, and the number of files."""
     vocabulary = sorted({w for _, t in templates for w in _plain_words(t)})
     held = files.select(F.array_intersect(words(F.coalesce("text", F.lit(""))), F.array(*map(F.lit, vocabulary))).alias("held"))
     # one row for each word of the templates at most, and one for the number of files
     rows = held.select(F.explode(F.array_union("held", F.array(F.lit("")))).alias("word")).groupBy("word").count().collect()
     count = {r["word"]: r["count"] for r in rows}
     n = count.get("", 0)
-    return {w: math.log((n + 1) / (count.get(w, 0) + 1)) + 1 for w in vocabulary}, math.log(n + 1) + 1
+    return {w: math.log((n + 1) / (count.get(w, 0) + 1)) + 1 for w in vocabulary}, n
 
 
 def vectors(templates, weight: dict[str, float]) -> list[dict[str, float]]:
@@ -106,18 +106,24 @@ def declared(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD
     Ties go to the earlier line, then to the licence that sorts first.
     """
     spark = files.sparkSession
-    weight, other = _weights(files, templates)
+    scratch = Scratch(spark)
+    weight, n = _weights(files, templates)
     vs = vectors(templates, weight)
     needed = rf"(^| )({'|'.join(re.escape(w) for w in heavy(vs, threshold))})( |\.|$)"
     lines = files.select("path", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("line", "content")).distinct()
     lines = lines.where(F.regexp_replace(F.lower("content"), r"[^a-z0-9.]+", " ").rlike(needed))
     of = ["path", "text_hash", "line"]
     found = lines.select(*of, F.explode(words(F.col("content"))).alias("word")).groupBy(*of, "word").agg(F.count("*").alias("tf"))
-    # the templates' words and weights: as many rows as their words
-    idf = F.broadcast(spark.createDataFrame([(w, x) for w, x in weight.items()], "word string, idf double"))
+    found = scratch.keep(found)
+    met = scratch.keep(found.select("word").distinct())
+    small = met.count() <= BROADCAST_ROWS
+    sent = lambda df: F.broadcast(df) if small else df
+    held = files.select(F.explode(F.array_distinct(words(F.coalesce("text", F.lit(""))))).alias("word"))
+    counts = scratch.keep(held.join(sent(met), "word", "left_semi").groupBy("word").agg(F.count("*").alias("files")))
+    idf = sent(counts.select("word", (F.log((F.lit(n) + 1) / (F.col("files") + 1)) + 1).alias("idf")))
     dims = F.broadcast(spark.createDataFrame([(w, k, x) for k, v in enumerate(vs) for w, x in v.items()], "word string, template int, part double"))
     names = F.broadcast(spark.createDataFrame([(k, name) for k, (name, _) in enumerate(templates)], "template int, license string"))
-    found = found.join(idf, "word", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(other)))
+    found = found.join(idf, "word").withColumn("x", F.col("tf") * F.col("idf"))
     size = found.groupBy(*of).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"))
     dot = found.join(dims, "word").groupBy(*of, "template").agg(F.sum(F.col("x") * F.col("part")).alias("dot"))
     a, b = dot.alias("a"), size.alias("b")

@@ -42,3 +42,11 @@ def test_heavy_words_lose_no_match():
     for v in vs:
         rest = {w: x for w, x in v.items() if w not in needed}
         assert sum(x * x for x in rest.values()) ** 0.5 < 0.6
+
+
+def test_common_words_outside_the_templates_weigh_little(spark):
+    line = "Copyright 2024 The Example Authors and Contributors. All rights reserved."
+    rows = [("a/x", line)] + [(f"b/{k}", "copyright 2024 the example authors and contributors of this text") for k in range(60)] + [(f"c/{k}", "nothing of note") for k in range(20)]
+    got = dict((p, (name, origin)) for p, name, origin, _ in run(spark, rows))
+    assert got["a/x"] == ("Proprietary", "own")
+    assert all(got[f"b/{k}"][1] == "none" for k in range(60))
