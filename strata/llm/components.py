@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
-
-#: Rounds after which the contraction is taken not to end; the number needed grows with the square of the logarithm of the nodes.
-MOST_ROUNDS = 60
+from .common import Scratch, delete
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -31,18 +28,17 @@ def connected(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
     Self-loops, repeated edges and either direction are fine; edges with a
     null end are dropped.  Roots themselves have no row.  Each round is
-    written to the shared folder, so lost executors cost one round at most.
+    written to the shared folder, so lost executors cost one round at most, and
+    takes the table of the round before away.  Every round but the last
+    moves a node to a smaller one, so the rounds end; their number grows with the
+    square of the logarithm of the nodes at most.
     """
     now = scratch.keep(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    seen = mark(now)
-    for _ in range(MOST_ROUNDS if seen[0] else 0):
-        now = scratch.keep(_small_star(_large_star(now)))
+    seen, new = None, mark(now)
+    while new[0] and new != seen:
+        old = scratch.last
+        now, seen = scratch.keep(_small_star(_large_star(now))), new
         new = mark(now)
-        if new == seen:
-            break
-        seen = new
-    else:
-        if seen[0]:
-            raise RuntimeError("the components did not settle")
+        delete(old)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
