@@ -116,6 +116,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDO
     scratch = Scratch(documents.sparkSession)
     text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
     items = templates(benchmark.select("item_id", "text").distinct().select("item_id", F.xxhash64("text").alias("item_hash"), valued(F.col("text")).alias("valued")), "valued")
+    items = scratch.keep(items.drop("valued"))  # read several times below
     literal = lambda words, i: F.size(F.filter(F.slice(words, i + 1, window), lambda w: ~_is_slot(w))) >= LITERAL
     rows = lambda kind, words, ok: F.transform(F.filter(_starts(F.col("plain"), window), ok), lambda i: F.struct(F.lit(kind).alias("kind"), i.alias("at"), _hash(words, i, window).alias("h")))
     typed = lambda i: literal("template", i)
