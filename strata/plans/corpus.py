@@ -95,7 +95,7 @@ def coverage_report(spark, d):
     return R.coverage(table(spark, d, "orders"), "o_custkey", "o_orderdate")
 
 
-@query("SELECT source, CASE WHEN count(DISTINCT lang) = 1 THEN min(lang) END AS preferred, list_sort(list(DISTINCT lang)) AS langs FROM documents WHERE doc_id % 9 = 0 GROUP BY 1")
+@query("SELECT source, CASE WHEN count(DISTINCT lang) = 1 THEN min(lang) END AS preferred, list_sort(list(DISTINCT lang)) AS langs FROM documents GROUP BY 1")
 def title_preference(spark, d):
     langs = F.array_sort(F.collect_set("lang"))
     return table(spark, d, "documents").groupBy("source").agg(langs.alias("langs")).select("source", F.when(F.size("langs") == 1, F.get("langs", F.lit(0))).alias("preferred"), "langs")

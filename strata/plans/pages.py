@@ -109,8 +109,8 @@ def store(spark, d) -> Store:
     return Store(t)
 
 
-_STORE = """u AS (SELECT o_orderkey AS k, o_orderkey::VARCHAR AS unit_key, o_orderpriority AS label, o_orderkey::INT AS physical_page, '{}' AS provenance_json, '{}' AS exposure_json, '{}' AS permissions_json FROM orders WHERE o_orderkey <= 200),
-l AS (SELECT l_orderkey AS k, l_linenumber AS n, min(l_quantity) AS q, min(l_discount) AS d, min(l_returnflag) AS f, min(l_linestatus) AS s, l_orderkey || ':' || l_linenumber AS row_key FROM lineitem WHERE l_orderkey <= 200 AND l_linenumber <= 4 GROUP BY 1, 2),
+_STORE = """u AS (SELECT o_orderkey AS k, o_orderkey::VARCHAR AS unit_key, o_orderpriority AS label, o_orderkey::INT AS physical_page, '{}' AS provenance_json, '{}' AS exposure_json, '{}' AS permissions_json FROM orders),
+l AS (SELECT l_orderkey AS k, l_linenumber AS n, min(l_quantity) AS q, min(l_discount) AS d, min(l_returnflag) AS f, min(l_linestatus) AS s, l_orderkey || ':' || l_linenumber AS row_key FROM lineitem GROUP BY 1, 2),
 t AS (SELECT k, string_agg(s, chr(10) ORDER BY n) AS literal, count(*) FILTER (s = 'O') AS unknown FROM l GROUP BY k),
 c AS (SELECT k, n, i, row_key || ':' || i AS cell_key FROM l, (VALUES (0), (1), (2)) v(i))"""
 _PIVOT = """SELECT n AS ordinal, row_key, '"primary"' AS documentary_role_json, '{"l_returnflag":"' || f || '"}' AS a, row_key || ':0' AS a0, q::VARCHAR AS b, row_key || ':1' AS b0, d::VARCHAR AS c, row_key || ':2' AS c0, 'x:' || k AS context_key, literal, unknown, k FROM l JOIN t USING (k) WHERE n > 1"""

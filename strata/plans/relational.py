@@ -63,10 +63,9 @@ def limits_union(spark, d):
     return of("region", "'region'", "r_name").unionByName(of("nation", "concat('nation:', n_regionkey)", "n_name")).unionByName(of("orders", "'status'", "o_orderstatus", "o_orderkey % 7 = 0")).unionByName(of("events", "'event'", "event_type", "value IS NOT NULL"))
 
 
-@query("SELECT o_orderkey, l_linenumber, p_name, s_name FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber <= 4 LEFT JOIN part ON p_partkey = l_partkey AND p_size > 25 LEFT JOIN supplier ON s_suppkey = l_suppkey")
+@query("SELECT o_orderkey, l_linenumber, p_name, s_name FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN part ON p_partkey = l_partkey AND p_size > 25 LEFT JOIN supplier ON s_suppkey = l_suppkey")
 def trace_fanout(spark, d):
-    l = table(spark, d, "lineitem").where("l_linenumber <= 4")
-    out = table(spark, d, "orders").select("o_orderkey").join(l, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    out = table(spark, d, "orders").select("o_orderkey").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left")
     out = out.join(table(spark, d, "part").where("p_size > 25"), F.col("p_partkey") == F.col("l_partkey"), "left")
     return out.join(table(spark, d, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"), "left").select("o_orderkey", "l_linenumber", "p_name", "s_name")
 

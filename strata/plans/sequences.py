@@ -106,9 +106,12 @@ def median_heights(spark, d):
 @query("WITH s AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n FROM labels WHERE quality = 1) SELECT doc_id, CASE WHEN doc_id % 29 = 0 THEN 'pinned' WHEN n <= 60 THEN 'shard-' || ((n - 1) % 3)::VARCHAR ELSE 'remainder' END AS shard FROM s")
 def deterministic_shards(spark, d):
     ids = table(spark, d, "labels").where("quality = 1").select("doc_id")
-    # numbering one column of ids needs one order over all of them; the ids of a test run are few
-    n = F.row_number().over(Window.orderBy("doc_id"))
-    return ids.withColumn("n", n).select("doc_id", F.when(F.col("doc_id") % 29 == 0, "pinned").when(F.col("n") <= 60, F.concat(F.lit("shard-"), ((F.col("n") - 1) % 3).cast("string"))).otherwise("remainder").alias("shard"))
+    # only the first 60 are numbered: they are found by a top-k, and ids beyond the last of them need no order
+    last = ids.orderBy("doc_id").limit(60).agg(F.max("doc_id").alias("last"))
+    ids = ids.join(F.broadcast(last), on=F.lit(True))  # one row
+    n = F.row_number().over(Window.orderBy("doc_id"))  # of 60 rows, and of ties with the last
+    ids = ids.where("doc_id <= last").withColumn("n", n).unionByName(ids.where("doc_id > last").withColumn("n", F.lit(61)))
+    return ids.select("doc_id", F.when(F.col("doc_id") % 29 == 0, "pinned").when(F.col("n") <= 60, F.concat(F.lit("shard-"), ((F.col("n") - 1) % 3).cast("string"))).otherwise("remainder").alias("shard"))
 
 
 @query("WITH p AS (SELECT conv_id, string_agg(role, ',' ORDER BY turn) AS roles, count(*) AS n, min(turn) AS first FROM conversations GROUP BY conv_id) SELECT conv_id, n, regexp_full_match(roles, '(user,assistant)(,user,assistant)*(,user)?|user') AS well_formed FROM p")
