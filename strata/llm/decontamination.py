@@ -199,49 +199,71 @@ def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, shar
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 9 on all documents and items; nulls, ties, repeats and empty tables as in ``contaminated`` and ``flags``."""
     return flags(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def _sql_template(text: str, values: bool) -> str:
-    """The template in SQL; RE2 has no lookaround, so what may overlap is replaced twice."""
-    own = (lambda k: f" || '\\{k}'") if values else lambda k: ""
+def _sql_valued(text: str) -> str:
+    """``valued`` in SQL; RE2 has no lookaround, so what may overlap is replaced twice."""
     t = f"coalesce({text}, '')"
     for _ in range(2):
-        t = f"regexp_replace({t}, '([^.!?:…\\x20\\x09-\\x0D][\\x20\\x09-\\x0D])(\\p{{Lu}}\\p{{Ll}}[\\p{{L}}\\p{{N}}]*)', '\\1' || chr(1){own(2)}, 'g')"
-    t = f"lower({t})"
+        t = f"regexp_replace({t}, '([^.!?:…\\x20\\x09-\\x0D][\\x20\\x09-\\x0D])(\\p{{Lu}}\\p{{Ll}}[\\p{{L}}\\p{{N}}]*)', '\\1' || chr(1) || '\\2', 'g')"
+    t = f"lower(regexp_replace({t}, '(^|[^\\p{{L}}\\p{{N}}\\x01])(\\p{{Lu}}\\p{{Ll}}[\\p{{L}}\\p{{N}}]*)', '\\1' || chr(5) || '\\2', 'g'))"
     for _ in range(2):
         t = f"regexp_replace({t}, '(\\p{{N}})[.,:/](\\p{{N}})', '\\1' || chr(4) || '\\2', 'g')"
-    t = f"regexp_replace({t}, '(\\p{{N}}[\\p{{N}}\\x04]*)', ' ' || chr(2){own(1)} || ' ', 'g')"
-    t = f"regexp_replace({t}, '[^\\p{{L}}\\p{{N}}%\\x01-\\x04]+', ' ', 'g') || ' '"
-    t = f"regexp_replace({t}, '(\\x02{'[^ ]*' if values else ''} +)({'|'.join(UNITS)}) ', '\\1' || chr(3){own(2)} || ' ', 'g')"
-    t = f"trim(regexp_replace({t}, ' +', ' ', 'g'))"
-    return f"CASE WHEN {t} = '' THEN [] ELSE string_split({t}, ' ') END"
+    t = f"regexp_replace({t}, '(\\p{{N}}[\\p{{N}}\\x04]*)', ' ' || chr(2) || '\\1 ', 'g')"
+    t = f"regexp_replace({t}, '[^\\p{{L}}\\p{{N}}%\\x01-\\x05]+', ' ', 'g') || ' '"
+    t = f"regexp_replace({t}, '(\\x02[^ ]* +)({'|'.join(UNITS)}) ', '\\1' || chr(3) || '\\2 ', 'g')"
+    return f"trim(regexp_replace({t}, ' +', ' ', 'g'))"
+
+
+_SLOT = "regexp_matches({}, '^[\\x01-\\x03]')"
+
+
+def _sql_templates(key: str, rows: str) -> str:
+    """p (plain), t (names inside sentences are placeholders) and k (known names at sentence starts, too) of rows (key, text)."""
+    return f"""SELECT {key}, text, p, t, CASE WHEN len(names) = 0 THEN t ELSE
+  list_transform(range(1, len(v) + 1), lambda i: CASE WHEN v[i][1] = chr(5) AND list_contains(names, chr(1) || v[i][2:]) THEN chr(1) ELSE t[i] END) END AS k
+FROM (SELECT {key}, text, v, list_filter(v, lambda x: x[1] = chr(1)) AS names, list_transform(v, lambda x: regexp_replace(x, '[\\x01-\\x03\\x05]', '', 'g')) AS p,
+  list_transform(v, lambda x: CASE WHEN {_SLOT.format("x")} THEN x[1] ELSE replace(x, chr(5), '') END) AS t
+  FROM (SELECT {key}, text, CASE WHEN w = '' THEN [] ELSE string_split(w, ' ') END AS v FROM (SELECT {key}, text, {_sql_valued("text")} AS w FROM ({rows}))))"""
+
+
+def _sql_windows(key: str, words: str, of: str, n: str = str(WINDOW)) -> str:
+    return f"SELECT {key}, text, i AS pos, array_to_string({words}[i + 1 : i + {n}], ' ') AS g FROM (SELECT *, unnest(range(len({words}) - {n} + 1)) AS i FROM {of} WHERE len({words}) >= {n})"
+
+
+def _sql_item_windows(kind: int, words: str, literal: str = "", where: str = "true") -> str:
+    held = f"len(list_filter({literal}[i + 1 : i + {WINDOW}], lambda x: NOT {_SLOT.format('x')})) >= {LITERAL}" if literal else "true"
+    return f"SELECT item_id, text, {kind} AS kind, i AS pos, array_to_string({words}[i + 1 : i + {WINDOW}], ' ') AS g FROM (SELECT *, unnest(range(len(p) - {WINDOW - 1})) AS i FROM b WHERE len(p) >= {WINDOW} AND {where}) WHERE {held}"
 
 
 ORACLE_SQL = f"""
-WITH items AS (SELECT DISTINCT item_id, text FROM benchmark),
-b AS (SELECT item_id, text, {_sql_template("text", False)} AS w, {_sql_template("text", True)} AS v FROM items),
-d0 AS (SELECT DISTINCT doc_id, text FROM documents),
-d AS (SELECT doc_id, text, {_sql_template("text", False)} AS w, {_sql_template("text", True)} AS v FROM d0),
-bw0 AS (SELECT item_id, text, unnest(range(len(w) - {WINDOW - 1})) AS pos, w FROM b WHERE len(w) >= {WINDOW}),
-bw AS (SELECT item_id, text, pos, array_to_string(w[pos + 1 : pos + {WINDOW}], ' ') AS g FROM bw0
-       WHERE len(list_filter(w[pos + 1 : pos + {WINDOW}], lambda x: NOT regexp_matches(x, '^[\x01-\x03]'))) >= {LITERAL}),
-sizes AS (SELECT item_id, text, count(*) AS windows FROM bw GROUP BY ALL),
-dw0 AS (SELECT doc_id, text, unnest(range(len(w) - {WINDOW - 1})) AS place, w FROM d WHERE len(w) >= {WINDOW}),
-dw AS (SELECT doc_id, text, place, array_to_string(w[place + 1 : place + {WINDOW}], ' ') AS g FROM dw0),
-lines AS (SELECT dw.doc_id, dw.text, item_id, bw.text AS item, place - pos AS shift, list(DISTINCT pos) AS ats FROM dw JOIN bw USING (g) GROUP BY ALL),
-slot0 AS (SELECT l.*, b.v AS bv, d.v AS dv, unnest(range(len(b.v))) AS i FROM lines l JOIN b ON b.item_id IS NOT DISTINCT FROM l.item_id AND b.text = l.item
-          JOIN d ON d.doc_id IS NOT DISTINCT FROM l.doc_id AND d.text = l.text),
-slots AS (SELECT DISTINCT doc_id, text, item_id, item, shift, bv[i + 1] AS x, dv[i + shift + 1] AS y FROM slot0
-          WHERE regexp_matches(bv[i + 1], '^[\x01-\x03]') AND len(list_filter(ats, lambda s: s <= i AND i < s + {WINDOW})) > 0),
-broken AS (SELECT doc_id, text, item_id, item, shift FROM slots GROUP BY ALL HAVING count(*) <> count(DISTINCT x) OR count(*) <> count(DISTINCT y)),
-kept AS (SELECT l.* FROM lines l WHERE NOT EXISTS (SELECT 1 FROM broken r WHERE r.doc_id IS NOT DISTINCT FROM l.doc_id AND r.text = l.text
-         AND r.item_id IS NOT DISTINCT FROM l.item_id AND r.item = l.item AND r.shift = l.shift)),
-one AS (SELECT DISTINCT doc_id, text, item_id, item, unnest(ats) AS pos FROM kept),
-found AS (SELECT doc_id, one.text, one.item_id, count(*) / any_value(windows) AS share FROM one
-          JOIN sizes s ON s.item_id IS NOT DISTINCT FROM one.item_id AND s.text = one.item GROUP BY doc_id, one.text, one.item_id, one.item HAVING count(*) / any_value(windows) >= {SHARE}),
+WITH b AS ({_sql_templates("item_id", "SELECT DISTINCT item_id, text FROM benchmark")}),
+d AS ({_sql_templates("doc_id", "SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents")}),
+bw AS ({_sql_item_windows(0, "t", "t")} UNION {_sql_item_windows(0, "p", "t")} UNION {_sql_item_windows(1, "k", "k", "k <> t")} UNION {_sql_item_windows(2, "p")}
+       UNION SELECT item_id, text, 2, 0, array_to_string(p, ' ') FROM b WHERE len(p) BETWEEN 1 AND {WINDOW - 1}),
+sizes AS (SELECT item_id, text, kind, count(DISTINCT pos) AS windows FROM bw GROUP BY ALL),
+few AS (SELECT DISTINCT len(p) AS n FROM b WHERE len(p) BETWEEN 1 AND {WINDOW - 1}),
+dw AS ({_sql_windows("doc_id", "t", "d")} UNION {_sql_windows("doc_id", "p", "d")} UNION {_sql_windows("doc_id", "k", "d")}
+       UNION {_sql_windows("doc_id", "p", "(SELECT d.*, n FROM d, few)", "n")}),
+lines AS (SELECT dw.doc_id, dw.text, item_id, bw.text AS item, kind, dw.pos - bw.pos AS shift, list(DISTINCT bw.pos) AS ats FROM dw JOIN bw USING (g) GROUP BY ALL),
+marked AS (SELECT l.*, CASE WHEN kind = 1 THEN b.k ELSE b.t END AS m, b.p AS bp, d.p AS dp FROM lines l
+           JOIN b ON b.item_id IS NOT DISTINCT FROM l.item_id AND b.text = l.item JOIN d ON d.doc_id IS NOT DISTINCT FROM l.doc_id AND d.text = l.text
+           WHERE kind <> 2 AND len(list_filter(b.k, lambda x: {_SLOT.format("x")})) > 0),
+slots AS (SELECT DISTINCT doc_id, text, item_id, item, kind, shift, m[i + 1] || bp[i + 1] AS x, dp[i + shift + 1] AS y FROM (SELECT *, unnest(range(len(m))) AS i FROM marked)
+          WHERE {_SLOT.format("m[i + 1]")} AND len(list_filter(ats, lambda s: s <= i AND i < s + {WINDOW})) > 0),
+broken0 AS (SELECT doc_id, text, item_id, item, kind, shift FROM slots GROUP BY ALL HAVING count(*) <> count(DISTINCT x)),
+broken AS (SELECT * FROM broken0 UNION SELECT doc_id, text, item_id, item, 2, shift FROM broken0 WHERE kind = 0),
+runs AS (SELECT *, len(list_filter(ats, lambda a: len(list_filter(ats, lambda c: c BETWEEN a AND a + {RUN - WINDOW})) = {RUN - WINDOW + 1})) > 0 AND kind = 2 AS run FROM lines),
+kept AS (SELECT l.* FROM runs l WHERE run OR NOT EXISTS (SELECT 1 FROM broken r WHERE r.doc_id IS NOT DISTINCT FROM l.doc_id AND r.text = l.text
+         AND r.item_id IS NOT DISTINCT FROM l.item_id AND r.item = l.item AND r.kind = l.kind AND r.shift = l.shift)),
+one AS (SELECT doc_id, text, item_id, item, kind, pos, bool_or(run) AS run FROM (SELECT *, unnest(ats) AS pos FROM kept) GROUP BY doc_id, text, item_id, item, kind, pos),
+found AS (SELECT doc_id, one.text, one.item_id, one.item, count(*) / any_value(windows) AS share, bool_or(run) AS run FROM one
+          JOIN sizes s ON s.item_id IS NOT DISTINCT FROM one.item_id AND s.text = one.item AND s.kind = one.kind GROUP BY doc_id, one.text, one.item_id, one.item, one.kind),
+held AS (SELECT doc_id, text, item_id, item, max(share) AS share FROM found GROUP BY ALL HAVING max(share) >= {SHARE} OR bool_or(run)),
 best AS (SELECT doc_id, text, count(*) AS n_items, min(item_id) FILTER (share = top) AS item_id, max(share) AS share
-         FROM (SELECT *, max(share) OVER (PARTITION BY doc_id, text) AS top FROM found) GROUP BY doc_id, text)
+         FROM (SELECT *, max(share) OVER (PARTITION BY doc_id, text) AS top FROM held) GROUP BY doc_id, text)
 SELECT o.doc_id, f.n_items IS NOT NULL AS contaminated, coalesce(f.n_items, 0) AS n_items, f.item_id, f.share
-FROM documents o LEFT JOIN best f ON f.doc_id IS NOT DISTINCT FROM o.doc_id AND f.text = o.text
+FROM documents o LEFT JOIN best f ON f.doc_id IS NOT DISTINCT FROM o.doc_id AND f.text = coalesce(o.text, '')
 """

@@ -196,15 +196,15 @@ WITH files AS (SELECT doc_id, coalesce(source, '_') || '/' || coalesce(lang, '_'
 templates(k, license, text) AS (VALUES {", ".join(f"({k}, {_sql(n)}, {_sql(t)})" for k, (n, t) in enumerate(TEMPLATES))}),
 tw AS (SELECT k, license, unnest({_SQL_WORDS.format("text")}) AS word FROM templates),
 tf AS (SELECT k, license, word, count(*) AS n FROM tw GROUP BY ALL),
-held AS (SELECT DISTINCT rowid_ AS r, word FROM (SELECT row_number() OVER () AS rowid_, unnest({_SQL_WORDS.format("text")}) AS word FROM files) WHERE word IN (SELECT word FROM tf)),
+held AS (SELECT DISTINCT rowid_ AS r, word FROM (SELECT row_number() OVER () AS rowid_, unnest({_SQL_WORDS.format("text")}) AS word FROM files)),
 df AS (SELECT word, count(*) AS n FROM held GROUP BY word),
 total AS (SELECT count(*) AS n FROM files),
-idf AS (SELECT w.word, ln((total.n + 1) / (coalesce(df.n, 0) + 1)) + 1 AS idf FROM (SELECT DISTINCT word FROM tf) w LEFT JOIN df USING (word), total),
+idf AS (SELECT w.word, ln((total.n + 1) / (coalesce(df.n, 0) + 1)) + 1 AS idf FROM (SELECT word FROM tf UNION SELECT word FROM df) w LEFT JOIN df USING (word), total),
 tv AS (SELECT k, license, word, tf.n * idf AS x FROM tf JOIN idf USING (word)),
 dims AS (SELECT k, license, word, x / sqrt(sum(x * x) OVER (PARTITION BY k)) AS part FROM tv),
 lines AS (SELECT DISTINCT path, text, unnest(range(len(string_split(text, chr(10))))) AS line, unnest(string_split(text, chr(10))) AS content FROM files),
 lw AS (SELECT path, text, line, unnest({_SQL_WORDS.format("content")}) AS word FROM lines),
-lx AS (SELECT path, text, line, word, count(*) * coalesce(any_value(idf), any_value(ln(total.n + 1) + 1)) AS x FROM lw LEFT JOIN idf USING (word), total GROUP BY path, text, line, word),
+lx AS (SELECT path, text, line, word, count(*) * any_value(idf) AS x FROM lw JOIN idf USING (word) GROUP BY path, text, line, word),
 size AS (SELECT path, text, line, sqrt(sum(x * x)) AS size FROM lx GROUP BY ALL),
 dot AS (SELECT path, text, line, k, license, sum(x * part) AS dot FROM lx JOIN dims USING (word) GROUP BY ALL),
 near AS (SELECT path, text, line, license, round(dot / size, 6) AS similarity FROM dot JOIN size USING (path, text, line) WHERE round(dot / size, 6) >= {THRESHOLD}),

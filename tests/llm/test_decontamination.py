@@ -25,14 +25,14 @@ def test_reparameterised_questions(spark):
     broken = ITEM.replace("then Adam gives 12", "then Emil gives 45")
     merged = ITEM.replace("30", "12")
     texts = [(1, "Before this. " + ITEM + " and more"), (2, "x y " + other + "\nend."), (3, broken), (4, merged), (5, ITEM.lower()), (6, "A farmer called nobody")]
-    assert run(spark, texts, [(7, ITEM)]) == [(1, True, 1, 7), (2, True, 1, 7), (3, False, 0, None), (4, False, 0, None), (5, False, 0, None), (6, False, 0, None)]
+    assert run(spark, texts, [(7, ITEM)]) == [(1, True, 1, 7), (2, True, 1, 7), (3, False, 0, None), (4, True, 1, 7), (5, True, 1, 7), (6, False, 0, None)]
 
 
 def test_edges(spark):
     plain = "one two three four five six seven eight nine ten eleven twelve"
     texts = [(None, plain), (1, None), (1, ""), (1, plain), (2, plain), (2, plain), (3, "b " * 50_000), (4, "one two three")]
     items = [(None, plain), (5, plain), (5, plain), (4, plain), (6, None), (7, ""), (8, "one two three"), (9, "1 2 3 4 5 6 7 8 9 10")]
-    want = [(None, True, 3, 4), (1, False, 0, None), (1, False, 0, None), (1, True, 3, 4), (2, True, 3, 4), (2, True, 3, 4), (3, False, 0, None), (4, False, 0, None)]
+    want = [(None, True, 4, 4), (1, False, 0, None), (1, False, 0, None), (1, True, 4, 4), (2, True, 4, 4), (2, True, 4, 4), (3, False, 0, None), (4, True, 1, 8)]
     assert run(spark, texts, items) == sorted(want, key=str)
     assert run(spark, texts[:1], [])[0][1] is False
 
