@@ -76,13 +76,19 @@ def retry_after(value: Column, now: Column) -> Column:
 
 # -- texts -----------------------------------------------------------------------
 
-# Months as they are written in Spanish, with the number of each.
+# Months as they are written in Spanish, with the number of each, and the forms in which numbers, periods and dates of reports are accepted.
 MONTHS = {
-    "enero": 1, "ene": 1, "febrero": 2, "feb": 2, "marzo": 3, "mar": 3, "abril": 4, "abr": 4, "mayo": 5, "may": 5, "junio": 6, "jun": 6,
-    "julio": 7, "jul": 7, "agosto": 8, "ago": 8, "septiembre": 9, "setiembre": 9, "sep": 9, "set": 9, "octubre": 10, "oct": 10,
-    "noviembre": 11, "nov": 11, "diciembre": 12, "dic": 12,
+    "enero": 1, "febrero": 2, "marzo": 3, "abril": 4, "mayo": 5, "junio": 6, "julio": 7, "agosto": 8, "septiembre": 9, "setiembre": 9,
+    "octubre": 10, "noviembre": 11, "diciembre": 12, "jun": 6,
 }
-_MONTH = "|".join(sorted((m for m in MONTHS if len(m) > 3), key=lambda m: (-len(m), m)))
+_MONTH = "enero|febrero|marzo|abril|mayo|junio|julio|agosto|septiembre|setiembre|octubre|noviembre|diciembre"
+_DASH = r"\s*[-\u2013\u2014]\s*"
+_NUMBER_SHAPES = (r"\bn\s*[.º°oª]*\s*[-:]?\s*([0-9]{1,4})\b", r"\breporte\s+(?:n\s*[.º°oª]*\s*)?([0-9]{1,4})\b")
+_DAY, _AFTER_DAY = "(?:0?[1-9]|[12][0-9]|3[01])", r"(?:\s+de\s+|\s+|\s*[,./:\-\u2013\u2014]\s*)"
+_PERIOD = rf"\b(?:{_MONTH})(?:\s+|{_DASH})[0-9]{{4}}\b|\b[0-9]{{4}}(?:\s+|{_DASH})(?:{_MONTH})\b(?!{_AFTER_DAY}{_DAY}\b)|\bjun{_DASH}[0-9]{{4}}\b"
+_WEEKDAY = "lunes|martes|miércoles|miercoles|jueves|viernes|sábado|sabado|domingo"
+_DATE_SHAPES = (r"\b[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}\b", rf"\b(?:{_WEEKDAY}),\s*[0-9]{{1,2}}\s+(?:{_MONTH})\s+[0-9]{{4}}\b", rf"\b(?:{_MONTH})\s+[0-9]{{1,2}},\s*[0-9]{{4}}\b")
+_ANY_CASE = "(?iU)"
 
 
 def clean_text(text: Column) -> Column:
@@ -91,26 +97,28 @@ def clean_text(text: Column) -> Column:
 
 
 def report_number(text: Column) -> Column:
-    """The number of a report named in a text (reporte ... N.º 123, or the bare number after reporte); numbers that look like years are none."""
-    full = F.regexp_extract(text, r"(?iu)\breportes?\b[^.\n]{0,80}?\bn(?:[.º°ro]|úm|um)[.º°\s]*\s*([0-9]{1,4})(?![0-9])", 1)
-    short = F.regexp_extract(text, r"(?iu)\breporte\s+(?:mensual\s+)?(?:de\s+conflictos\s+sociales\s+)?#?([0-9]{1,4})(?![0-9])", 1)
-    n = F.coalesce(F.when(full != "", full), F.when(short != "", short)).try_cast("int")
-    return F.when(~n.between(1900, 2100), n)
+    """The number of a report named in a text: the first after N, else the first after reporte; one that looks like a year is none."""
+    found = [F.regexp_extract(text, _ANY_CASE + shape, 1).try_cast("int") for shape in _NUMBER_SHAPES]
+    return F.coalesce(*[F.when(~n.between(1900, 2100), n) for n in found])
 
 
 def reference_period(text: Column) -> Column:
-    """The first month and year named in a text, as YYYY-MM; one with a day of the month before it is a date and does not count."""
-    named = F.regexp_extract(text, rf"(?iu)(?<!\d\s{{0,3}}(?:de\s{{1,3}})?)\b({_MONTH})\b(?:\s+(?:de|del)){{0,2}}[\s,-]+((?:19|20)[0-9]{{2}})\b", 0)
-    month = F.lower(F.regexp_extract(named, r"(?iu)^(\p{L}+)", 1))
-    year = F.regexp_extract(named, "([0-9]{4})$", 1)
+    """The first month and year named in a text, as YYYY-MM; one that a day of the month stands at is a date and does not count.
+
+    A report's number is no day: those of up to two digits are masked before
+    periods are looked for.
+    """
+    for shape in _NUMBER_SHAPES:
+        text = F.regexp_replace(text, f"{_ANY_CASE}({shape.replace('([0-9]{1,4})', ')[0-9]{1,2}')}", "$1#")
+    found = F.regexp_extract_all(text, F.lit(rf"{_ANY_CASE}(?:\b{_DAY}{_AFTER_DAY})?(?:{_PERIOD})"), F.lit(0))
+    first = F.get(F.filter(found, lambda p: ~p.rlike(rf"{_ANY_CASE}^{_DAY}{_AFTER_DAY}")), F.lit(0))
     table = F.create_map(*[F.lit(x) for m, k in MONTHS.items() for x in (m, f"{k:02d}")])
-    return F.when(named != "", F.concat_ws("-", year, table[month]))
+    return F.concat(F.regexp_extract(first, "([0-9]{4})", 1), F.lit("-"), table[F.lower(F.regexp_extract(first, r"(\p{L}+)", 1))])
 
 
 def date_text(text: Column) -> Column:
-    """The first date in a text, as written: with slashes, else with a weekday, else with a month's name."""
-    shapes = [r"\b[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}\b", rf"(?iu)\b(?:lunes|martes|miércoles|jueves|viernes|sábado|domingo),?\s+[0-9]{{1,2}}\s+de\s+(?:{_MONTH})\s+(?:de|del)\s+[0-9]{{4}}\b", rf"(?iu)\b[0-9]{{1,2}}\s+de\s+(?:{_MONTH})\s+(?:de|del)\s+[0-9]{{4}}\b"]
-    found = [F.regexp_extract(text, s, 0) for s in shapes]
+    """The first date in a text, as written: with slashes, else with a weekday, else with a month's name before the day."""
+    found = [F.regexp_extract(text, _ANY_CASE + shape, 0) for shape in _DATE_SHAPES]
     return F.coalesce(*[F.when(f != "", f) for f in found])
 
 

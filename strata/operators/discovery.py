@@ -16,20 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import MONTHS
+from ..functions.scalars import date_text, reference_period, report_number
 
 _SKIP = frozenset("script style noscript footer template".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-_MONTH = "|".join(sorted(MONTHS, key=lambda m: (-len(m), m)))
-_NUMBER = (
-    re.compile(r"\breportes?\b[^\n]{0,90}?\bn(?:\s*[.º°]+\s*[º°o]?|ro\.?|úm\.?|-o)[\s-]*([0-9]{1,4})(?![0-9])", re.I),
-    re.compile(r"\breporte[\s-]+(?:mensual[\s-]+)?(?:de[\s-]+confl\w+[\s-]+sociales[\s-]+)?#?([0-9]{1,4})(?![0-9])", re.I),
-)
-_PERIOD = re.compile(rf"\b({_MONTH})\b\.?(?:\s+(?:de|del))?[\s,/-]+((?:19|20)[0-9]{{2}})\b", re.I)
-_YEAR_FIRST = re.compile(rf"\b((?:19|20)[0-9]{{2}})[\s,/-]+({_MONTH})\b", re.I)
-_DAY_BEFORE = re.compile(r"([0-9]{1,2})\s*(?:de\s+)?$", re.I)
-_DATE = re.compile(rf"\b[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}}\b|\b[0-9]{{1,2}}\s+de\s+(?:{_MONTH})\s+(?:de|del)\s+[0-9]{{4}}\b", re.I)
 _SUBJECT = re.compile(r"\breporte\w*\b.*\bconfl\w*", re.I | re.S)
 
 
@@ -100,24 +91,6 @@ def tree(page: str) -> Node:
     return t.root
 
 
-def number_in(text: str) -> int | None:
-    for shape in _NUMBER:
-        m = shape.search(text)
-        if m and not 1900 <= int(m[1]) <= 2100:
-            return int(m[1])
-    return None
-
-
-def period_in(text: str, number: int | None = None) -> str | None:
-    """The first month and year; one after a day of the month is a date, unless that number is the report's own."""
-    for m in _PERIOD.finditer(text):
-        day = _DAY_BEFORE.search(text[: m.start()])
-        if day is None or int(day[1]) == number:
-            return f"{m[2]}-{MONTHS[m[1].lower()]:02d}"
-    m = _YEAR_FIRST.search(text)
-    return f"{m[1]}-{MONTHS[m[2].lower()]:02d}" if m else None
-
-
 def role_of(url: str) -> str:
     path = urlsplit(url).path.lower()
     return "direct_download" if re.search(r"\.(pdf|docx?|xlsx?|zip)$", path) else "landing_page"
@@ -163,13 +136,12 @@ def records(page: str, url: str, role: str) -> tuple[list[dict], str | None]:
         named = [a.text() for a in anchors if _SUBJECT.search(a.text())]
         title = (heads or named or [scope.text()])[0]
         text = scope.text()
-        number = number_in(title) or number_in(text)
-        date = _DATE.search(" ".join(x for x in (p.text() for p in scope.all("p", "time", "span", "small")) if x) or text)
-        about = [p.text() for p in scope.all("p") if _SUBJECT.search(p.text()) and number_in(p.text()) in (None, number)]
+        dated = " ".join(x for x in (p.text() for p in scope.all("p", "time", "span", "small")) if x) or text
+        about = [p.text() for p in scope.all("p") if _SUBJECT.search(p.text())]
         links: dict[str, str] = {}
         for a in anchors:
             links.setdefault(urljoin(url, a.attrs["href"]), role_of(a.attrs["href"]))
-        out.append({"scope": k, "number": number, "period": period_in(title, number) or period_in(text, number), "title": title, "date": date[0] if date else None, "description": about[0] if about else None, "links": [{"url": u, "role": r} for u, r in links.items()]})
+        out.append({"scope": k, "title": title, "text": text, "dated": dated, "about": about, "links": [{"url": u, "role": r} for u, r in links.items()]})
     return out, next_of(root)
 
 
@@ -184,10 +156,16 @@ def parse_pages(pages: DataFrame) -> DataFrame:
                 found, nxt = records(html or "", url or "", role or "other")
                 nxt = urljoin(url or "", nxt) if nxt else None
                 out += [{"page_url": url, "next_url": nxt, **r} for r in found] or [{"page_url": url, "next_url": nxt}]
-            names = {"page_url": pa.string(), "next_url": pa.string(), "scope": pa.int32(), "number": pa.int32(), "period": pa.string(), "title": pa.string(), "date": pa.string(), "description": pa.string(), "links": link}
+            names = {"page_url": pa.string(), "next_url": pa.string(), "scope": pa.int32(), "title": pa.string(), "text": pa.string(), "dated": pa.string(), "about": pa.list_(pa.string()), "links": link}
             yield pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in out], t) for c, t in names.items()], names=list(names))
 
-    return pages.select("page_url", "page_role", "html").mapInArrow(rows, "page_url string, next_url string, scope int, number int, period string, title string, date string, description string, links array<struct<url:string,role:string>>")
+    found = pages.select("page_url", "page_role", "html").mapInArrow(rows, "page_url string, next_url string, scope int, title string, text string, dated string, about array<string>, links array<struct<url:string,role:string>>")
+    number = F.coalesce(report_number(F.col("title")), report_number(F.col("text")))
+    about = F.filter("about", lambda p: report_number(p).isNull() | report_number(p).eqNullSafe(F.col("number")))
+    return found.withColumn("number", number).select(
+        "page_url", "next_url", "scope", "number", F.coalesce(reference_period(F.col("title")), reference_period(F.col("text"))).alias("period"), "title",
+        date_text(F.col("dated")).alias("date"), F.get(about, F.lit(0)).alias("description"), "links",
+    )
 
 
 def walk(links: DataFrame, start: str, cap: int) -> DataFrame:

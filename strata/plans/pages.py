@@ -12,10 +12,22 @@ from ..registry import query, table
 from .inspection import ROLES_PRIORITY, ROLES_REGIONAL, Store
 
 
-@query()
+_NAMES = "['enero', 'febrero', 'marzo', 'abril', 'mayo', 'junio', 'julio', 'agosto', 'setiembre', 'octubre', 'noviembre', 'diciembre']"
+
+
+@query(f"""WITH p AS (SELECT *, page_id % 400 + 1 AS n, page_id % 12 + 1 AS m FROM pages)
+SELECT url AS page_url, regexp_extract(url, '^https?://[^/?#]+') || '/page/' || page_id + 1 || '/' AS next_url, 0 AS scope, n::INT AS number, '2010-' || lpad(m::VARCHAR, 2, '0') AS period,
+  'Reporte de conflictos sociales n.° ' || n || ' – ' || {_NAMES}[m] || ' 2010' AS title, '13/08/' || 2010 + page_id % 9 AS date, 2 AS links FROM p""")
 def html_records(spark, d):
-    """Records of every page as a catalogue page."""
-    return D.parse_pages(table(spark, d, "pages").select(F.col("url").alias("page_url"), F.lit("catalogue").alias("page_role"), "html"))
+    """Records of catalogue pages: each page of the table behind an entry about a report, with a link to the next page."""
+    pages = table(spark, d, "pages")
+    n, month = (F.col("page_id") % 400 + 1).cast("string"), F.element_at(F.array(*[F.lit(x) for x in _NAMES.strip("[]").replace("'", "").split(", ")]), (F.col("page_id") % 12 + 1).cast("int"))
+    entry = F.concat(
+        F.lit('<a rel="next" href="/page/'), F.col("page_id") + 1, F.lit('/">»</a><article><a href="/doc/'), n, F.lit('/">Reporte de conflictos sociales n.° '), n, F.lit(" – "), month, F.lit(" 2010</a><a href='/up/r"), n,
+        F.lit(".pdf'>PDF</a><p>Publicado: 13/08/"), (2010 + F.col("page_id") % 9).cast("string"), F.lit("</p></article>"),
+    )
+    found = D.parse_pages(pages.select(F.col("url").alias("page_url"), F.lit("catalogue").alias("page_role"), F.concat(entry, "html").alias("html")))
+    return found.select("page_url", "next_url", "scope", "number", "period", "title", "date", F.size("links").alias("links"))
 
 
 @query("WITH h AS (SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM pages), n AS (SELECT page_id, lead(page_id) OVER (ORDER BY page_id) AS nxt, row_number() OVER (ORDER BY page_id) AS place FROM h WHERE host = (SELECT host FROM h WHERE page_id = 0)) SELECT page_id::VARCHAR AS page_url, place, CASE WHEN nxt IS NULL THEN 'no_next_link' WHEN place >= 24 THEN 'page_cap' END AS stop FROM n WHERE place <= 24")
@@ -28,10 +40,20 @@ def page_walk(spark, d):
     return D.walk(links, "0", 24)
 
 
-@query()
+@query(f"""WITH o AS (SELECT o_orderkey, o_orderkey % 5 AS k, o_orderkey % 300 + 1 AS n, year(o_orderdate) AS y, month(o_orderdate) AS m, {_NAMES}[month(o_orderdate)] AS name FROM orders)
+SELECT o_orderkey, CASE WHEN k < 3 THEN n::INT END AS number, CASE k WHEN 0 THEN y || '-06' WHEN 1 THEN y || '-' || lpad(m::VARCHAR, 2, '0') WHEN 2 THEN y || '-' || lpad(m::VARCHAR, 2, '0') WHEN 3 THEN NULL ELSE NULL END AS period,
+  CASE k WHEN 3 THEN 'lunes, 7 ' || name || ' ' || y WHEN 4 THEN name || ' 7, ' || y END AS date,
+  CASE k WHEN 0 THEN 'reporte no ' || n || ' – jun-' || y WHEN 1 THEN 'conflictos n. ' || n || ' ' || name || ' -' || y WHEN 2 THEN 'reporte ' || n || ' ' || y || ' ' || name WHEN 3 THEN 'publicado lunes, 7 ' || name || ' ' || y ELSE 'region ' || name || ' 7, ' || y END AS folded FROM o""")
 def report_texts(spark, d):
-    t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", S.report_number(t).alias("number"), S.reference_period(t).alias("period"), S.date_text(t).alias("date"), S.fold(t).alias("folded"))
+    """Numbers, periods and dates of texts in five forms, one for each order."""
+    o = table(spark, d, "orders")
+    name = F.element_at(F.array(*[F.lit(x) for x in _NAMES.strip("[]").replace("'", "").split(", ")]), F.month("o_orderdate"))
+    n, y, k = (F.col("o_orderkey") % 300 + 1).cast("string"), F.year("o_orderdate").cast("string"), F.col("o_orderkey") % 5
+    join = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v for v in x])
+    text = F.when(k == 0, join("Reporte Nº ", n, " – Jun-", y)).when(k == 1, join("CONFLICTOS n. ", n, "  ", F.initcap(name), " -", y)).when(k == 2, join("reporte ", n, " ", y, " ", name))
+    text = text.when(k == 3, join("Publicado lunes, 7 ", name, " ", y)).otherwise(join("Región ", name, " 7, ", y))
+    t = F.col("t")
+    return o.select("o_orderkey", text.alias("t")).select("o_orderkey", S.report_number(t).alias("number"), S.reference_period(t).alias("period"), S.date_text(t).alias("date"), S.fold(t).alias("folded"))
 
 
 def _words(spark, d):

@@ -20,9 +20,18 @@ def test_records(spark):
     assert (got[1].scope, got[1].next_url) == (None, None)
 
 
-def test_numbers_and_periods():
-    assert D.number_in("Reporte de conflictos sociales N° 12") == 12 and D.number_in("reporte 2019") is None
-    assert D.period_in("13 de agosto de 2026, julio 2026") == "2026-07" and D.period_in("Reporte 7 julio 2026", 7) == "2026-07" and D.period_in("2004 junio") == "2004-06"
+def test_numbers_periods_and_dates(spark):
+    rows = [
+        ("Reporte de conflictos sociales N° 12", 12, None, None), ("reporte 2019", None, None, None), ("Conflictos sociales N 57", 57, None, None), ("Reporte n.° 117", 117, None, None),
+        ("13 de agosto de 2026, julio 2026", None, "2026-07", None), ("Reporte 7 julio 2026", 7, "2026-07", None), ("2004 junio", None, "2004-06", None), ("2004 junio 12", None, None, None),
+        ("Reporte Mensual N° 112 – Jun-2013", 112, "2013-06", None), ("Reporte N° 206 Abril -2021", 206, "2021-04", None), ("Reporte N° 23 - Enero 2006", 23, "2006-01", None),
+        ("Reporte Mensual N° 31 Junio 2006", 31, "2006-06", None), ("junio – 2008", None, "2008-06", None), ("7 junio 2008", None, None, None), ("el 7 de junio 2008; mayo 2009", None, "2009-05", None),
+        ("lunes, 13 julio 2026", None, None, "lunes, 13 julio 2026"), ("julio 13, 2026", None, None, "julio 13, 2026"), ("julio 13, 2026 y 01/02/2003", None, None, "01/02/2003"), ("julio de 2026", None, None, None), (None, None, None, None), ("", None, None, None),
+    ]
+    df = spark.createDataFrame([(r[0],) for r in rows], "t string")
+    c = F.col("t")
+    got = df.select(c, S.report_number(c), S.reference_period(c), S.date_text(c)).collect()
+    assert [tuple(r) for r in got] == rows
 
 
 def test_walk(spark):
@@ -58,7 +67,7 @@ def test_scalars(spark):
     assert one(spark, S.acquisition_url(c("v"), ["ex.org"]), v="https://ex.org/a b/é.pdf") == "https://ex.org/a%20b/%C3%A9.pdf"
     assert one(spark, S.acquisition_url(c("v"), ["ex.org"]), v="https://ex.org/a/../b") is None
     assert one(spark, S.report_number(c("v")), v="Reporte de conflictos sociales N.º 117") == 117
-    assert one(spark, S.reference_period(c("v")), v="13 de agosto de 2026 y julio de 2026") == "2026-07"
+    assert one(spark, S.reference_period(c("v")), v="13 de agosto de 2026 y julio 2026") == "2026-07"
     assert one(spark, S.date_text(c("v")), v="el 3 de mayo de 2020 o 13/08/2026") == "13/08/2026"
     assert one(spark, S.qualified_whitespace(c("v")), v="a \n b") == "a b" and one(spark, S.qualified_whitespace(c("v")), v="1 2") is None and one(spark, S.qualified_whitespace(c("v")), v="a\tb") is None
     assert one(spark, S.occurrences(c("t"), c("p")), t="12 a 12.5 (12) 112", p="12") == [0, 11]
