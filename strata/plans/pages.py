@@ -1,4 +1,4 @@
-"""Queries on web pages, page geometry, addressed tables and the inspection store; rows only, held against literal results in the tests."""
+"""Queries on web pages, page geometry, addressed tables and the inspection store."""
 
 from __future__ import annotations
 
@@ -56,35 +56,61 @@ def report_texts(spark, d):
     return o.select("o_orderkey", text.alias("t")).select("o_orderkey", S.report_number(t).alias("number"), S.reference_period(t).alias("period"), S.date_text(t).alias("date"), S.fold(t).alias("folded"))
 
 
-def _words(spark, d):
-    """Orders as pages: each line's columns as words of a table under the labels of a regional table."""
-    o, l = table(spark, d, "orders"), table(spark, d, "lineitem")
-    page = F.col("o_orderkey").cast("string").alias("page_id")
-    of = lambda df, n, text, x0, x1, y: df.select(page, n.alias("n"), text.alias("text"), F.lit(x0).alias("x0"), y.alias("y0"), F.lit(x1).alias("x1"), (y + 10).alias("y1"))
-    top, rows = o.select("o_orderkey"), o.join(l, F.col("o_orderkey") == F.col("l_orderkey"))
-    y, n = F.lit(10.0) + 20.0 * F.col("l_linenumber"), F.col("l_linenumber") * 3
-    parts = [of(top, F.lit(k), F.lit(t), x, x + 30.0, F.lit(10.0)) for k, (t, x) in enumerate((("Región", 0.0), ("Total", 100.0), ("%", 190.0)))]
-    parts += [of(rows, n, F.col("l_returnflag"), 0.0, 30.0, y), of(rows, n + 1, F.col("l_quantity").cast("int").cast("string"), 100.0, 130.0, y), of(rows, n + 2, F.concat(F.col("l_discount").cast("string"), F.lit("%")), 190.0, 220.0, y)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.dropDuplicates(["page_id", "n"]).withColumnRenamed("n", "word_index").withColumns({"width": F.lit(250.0), "height": F.lit(400.0)})
-
-
-@query()
-def region_admission(spark, d):
-    return G.region_admission(_words(spark, d))
+def _table_words(spark, d, labels, cells):
+    """Orders as pages of one table: labels (text, x0, x1) on top, then the cells (text, x0, x1) of each line; a null text leaves its cell empty."""
+    o = table(spark, d, "orders").select("o_orderkey")
+    l = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_quantity", "l_discount", "l_returnflag", "l_linestatus")])
+    as_words = lambda ws: F.array(*[F.struct((F.lit(t) if isinstance(t, str) else t).cast("string").alias("text"), (F.lit(0.0) + x0).alias("x0"), (F.lit(0.0) + x1).alias("x1")) for t, x0, x1 in ws])
+    top = o.select("o_orderkey", F.lit(0).alias("n"), F.posexplode(as_words(labels)).alias("k", "w"))
+    rows = o.join(l, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", F.col("l_linenumber").cast("int").alias("n"), F.posexplode(as_words(cells)).alias("k", "w"))
+    y = 10.0 + 20.0 * F.col("n")
+    return top.unionByName(rows).where("w.text IS NOT NULL").select(
+        F.col("o_orderkey").cast("string").alias("page_id"), (len(labels) * F.col("n") + F.col("k")).alias("word_index"), "w.text", "w.x0", y.alias("y0"), "w.x1", (y + 10.0).alias("y1"), F.lit(250.0).alias("width"), F.lit(400.0).alias("height"),
+    )
 
 
-@query()
+def _words(spark, d):
+    """Pages of the columns of each line under the labels of a regional table."""
+    label = F.when(F.col("l_discount") >= 0.1, "7").otherwise(F.col("l_returnflag"))
+    cells = [(label, 0.0, 30.0), (F.col("l_quantity").cast("int"), 100.0, 130.0), (F.concat(F.col("l_discount").cast("string"), F.lit("%")), 190.0, 220.0)]
+    return _table_words(spark, d, [("Región", 0.0, 30.0), ("Total", 100.0, 130.0), ("%", 190.0, 220.0)], cells)
+
+
+@query("""WITH l AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS n FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) UNION ALL SELECT o_orderkey, 0 FROM orders),
+i AS (SELECT k, n, n - row_number() OVER (PARTITION BY k ORDER BY n) AS island FROM l),
+r AS (SELECT k, min(n) AS first, max(n) AS last, count(*) AS lines FROM i GROUP BY k, island)
+SELECT k::VARCHAR AS page_id, row_number() OVER (PARTITION BY k ORDER BY first) - 1 AS region,
+  CASE WHEN k % 3 = 2 THEN 'ambiguous_region' WHEN lines = 1 THEN 'candidate_continuation_or_context' WHEN k % 3 = 1 THEN 'unclassified_or_unprocessed' ELSE 'candidate_tabular_region' END AS classification,
+  CASE WHEN lines = 1 OR k % 3 = 1 THEN 'whole_spatial_component' ELSE 'multi_run_core' END AS part_role, lines, 3 * lines AS words, 0.0::DOUBLE AS x0, 10.0::DOUBLE + 20 * first AS y0, CASE WHEN k % 3 = 1 THEN 250.0 ELSE 220.0 END::DOUBLE AS x1, 20.0::DOUBLE + 20 * last AS y1 FROM r""")
+def region_admission(spark, d):
+    """Pages of three kinds: words in columns, words in running lines, and words that overlap."""
+    kind = F.col("page_id").cast("long") % 3
+    of = lambda plain, running, touching: F.when(kind == 1, running).when(kind == 2, touching).otherwise(plain)
+    at = F.col("word_index") % 3
+    x0 = F.when(at == 1, of(100.0, 70.0, 20.0)).when(at == 2, of(190.0, 160.0, 190.0)).otherwise(0.0)
+    x1 = F.when(at == 1, of(130.0, 150.0, 130.0)).when(at == 2, of(220.0, 250.0, 220.0)).otherwise(of(30.0, 60.0, 30.0))
+    return G.region_admission(_words(spark, d).withColumns({"x0": x0, "x1": x1}))
+
+
+@query("""WITH l AS (SELECT l_orderkey AS k, l_linenumber AS n, min(l_quantity) AS q, min(l_discount) AS disc, min(l_returnflag) AS f FROM lineitem GROUP BY 1, 2),
+o AS (SELECT k, n, q, disc, f, row_number() OVER (PARTITION BY k ORDER BY n) - 1 AS "row", max((disc >= 0.1)::INT) OVER (PARTITION BY k ORDER BY n) AS stopped FROM l WHERE k IN (SELECT o_orderkey FROM orders)),
+kept AS (SELECT * FROM o WHERE stopped = 0)
+SELECT k::VARCHAR AS page_id, 'populated_partial_source_evidence' AS status, "row", 'regional_category' AS row_kind, f AS category, q::INT::VARCHAR AS count, disc::VARCHAR || '%' AS percentage FROM kept
+UNION ALL SELECT o_orderkey::VARCHAR, 'no_qualified_rows', NULL, NULL, NULL, NULL, NULL FROM orders WHERE o_orderkey NOT IN (SELECT k FROM kept)""")
 def regional_rows(spark, d):
     return G.regional_table(_words(spark, d))
 
 
-@query()
+@query("""WITH l AS (SELECT l_orderkey AS k, l_linenumber AS n, min(l_quantity) AS q, min(l_linestatus) AS s, min(l_returnflag) AS f FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY 1, 2),
+t AS (SELECT k, CASE WHEN max(q) > 45 THEN 'partial' ELSE 'processed' END AS status FROM l GROUP BY k),
+c AS (SELECT k, n, unnest([1, 2, 3]) AS "column", unnest([f, s, CASE WHEN q <= 45 THEN q::INT::VARCHAR END]) AS value FROM l)
+SELECT k::VARCHAR AS page_id, status, 4 * n AS ordinal_word, n || '.' AS ordinal, "column", CASE WHEN value IS NULL THEN 'unavailable_no_qualified_words' ELSE 'processed' END AS cell_status, value FROM c JOIN t USING (k)
+UNION ALL SELECT o_orderkey::VARCHAR, 'no_qualified_ordinals', NULL, NULL, NULL, NULL, NULL FROM orders WHERE o_orderkey NOT IN (SELECT k FROM l)""")
 def priority_rows(spark, d):
-    names = F.when(F.col("text") == "Región", "N.°").when(F.col("text") == "Total", "Lugar").when(F.col("text") == "%", "Caso").otherwise(F.col("text"))
-    return G.priority_table(_words(spark, d).withColumn("text", names))
+    """Lines as numbered rows; large quantities leave the last cell empty."""
+    labels = [("N.°", 0.0, 12.0), ("Lugar", 40.0, 65.0), ("Caso", 110.0, 135.0), ("Situación", 190.0, 235.0)]
+    cells = [(F.concat("l_linenumber", F.lit(".")), 2.0, 10.0), (F.col("l_returnflag"), 40.0, 75.0), (F.col("l_linestatus"), 110.0, 140.0), (F.when(F.col("l_quantity") <= 45, F.col("l_quantity").cast("int")), 190.0, 230.0)]
+    return G.priority_table(_table_words(spark, d, labels, cells))
 
 
 @query("""WITH p AS (SELECT o_orderkey AS input_id, unnest(range(1, 5)) AS "row" FROM orders), g AS (SELECT input_id, "row", unnest(['flag', 'quantity']) AS field FROM p), l AS (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS f, min(l_quantity) AS q FROM lineitem WHERE l_orderkey % 9 <> 0 GROUP BY 1, 2)
