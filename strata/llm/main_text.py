@@ -15,6 +15,7 @@ plain divisions), whose labels are known.
 from __future__ import annotations
 
 import html
+import pickle
 import random
 import re
 from dataclasses import dataclass
@@ -25,14 +26,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytewords as bw
-from .common import table
+from .common import smallest, table
 
 #: Most pages that the field is trained on.
 SAMPLE_PAGES = 300
-#: Characters of a page up to which it may be trained on; all pages are extracted whole.
-SAMPLE_CHARS = 40_000
+#: Characters, and blocks, of a page up to which it may be trained on; all pages are extracted whole.
+SAMPLE_CHARS, SAMPLE_BLOCKS = 40_000, 80
+#: Blocks of a page, each of fewer than so many characters, that composed pages are made from.
+COMPOSED_BLOCKS, COMPOSED_CHARS = 40, 3_000
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: A quote opens a value only right after an equals sign; one that is never closed is a character like any other.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _WHITE = re.compile(r"\s+")
 _SPLIT = re.compile(r"[^a-z0-9]+")
@@ -312,22 +316,39 @@ def fit(pages: list[str | None], seed: int = 11) -> Field:
     for page in pages:
         blocks = blocks_of(page)
         label = [int(bool({"article", "main"} & set(b.tags)) and not {"nav", "aside", "form", "footer"} & set(b.tags)) for b in blocks]
-        if 0 < sum(label) and len(blocks) <= 80:
+        if 0 < sum(label) and len(blocks) <= SAMPLE_BLOCKS:
             known.append((features(blocks), label))
-        paragraphs += [b.text for b in blocks if len(b.text) < 3000][:40]
+        paragraphs += [b.text for b in blocks if len(b.text) < COMPOSED_CHARS][:COMPOSED_BLOCKS]
     paragraphs = paragraphs or ["Some words of a page, for want of any other.", "Another sentence follows.", "More"]
     for _ in range(max(len(pages), 300)):
         page, text = compose(rng, paragraphs)
         blocks = blocks_of(page)
-        if len(blocks) <= 80:
+        if len(blocks) <= SAMPLE_BLOCKS:
             known.append((features(blocks), _labels(blocks, text)))
     return train_field(known)
 
 
+def _fitted_rows(batches):
+    """The field of all pages, pickled."""
+    pages = [p for batch in batches for p in batch.column("html").to_pylist()]
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(pages))], pa.binary())], names=["field"])
+
+
 def train(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Field:
-    """Fits on the pages with the smallest hashes of their ids, up to a size."""
-    chosen = pages.where(F.length("html") <= SAMPLE_CHARS).orderBy(F.xxhash64("page_id"), "page_id", F.xxhash64("html")).limit(sample_pages)
-    return fit([r.html for r in chosen.select("html").collect()])
+    """Fits, in one task, on the pages with the smallest hashes of their ids, up to a size; only those pages leave the tasks that read them.
+
+    Null pages are not trained on; of equal rows each counts.  Without pages the
+    field is fitted on composed ones alone.
+    """
+    own = F.xxhash64("html")
+    fitting = pages.where(F.length("html") <= SAMPLE_CHARS)
+    chosen = smallest(fitting.select("page_id", own.alias("own")), F.xxhash64("page_id"), sample_pages, "page_id", "own").distinct()
+    c = chosen.select(F.col("page_id").alias("chosen_id"), F.col("own").alias("chosen_own"))
+    # at most sample_pages pairs of two numbers: bounded, so broadcast
+    rows = fitting.join(F.broadcast(c), F.col("page_id").eqNullSafe(F.col("chosen_id")) & (own == F.col("chosen_own")), "left_semi")
+    rows = rows.orderBy(F.xxhash64("page_id"), "page_id", own).limit(sample_pages).select("html")
+    found = rows.coalesce(1).mapInArrow(bw.giving_back(_fitted_rows), "field binary").first()
+    return pickle.loads(found.field) if found else fit([])
 
 
 def main_text(page: str | None, field: Field) -> str:

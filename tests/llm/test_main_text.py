@@ -76,3 +76,12 @@ def test_edges(spark, field):
     got = sorted(((r.page_id or 0, r.n_chars) for r in extract(df, field).collect()))
     assert got == [(0, 0), (1, 0), (2, 0), (2, 0), (3, 540_000 + 1)]
     assert extract(df.limit(0)).collect() == []
+
+
+def test_quotes_in_tags_hide_no_text():
+    from strata.llm.main_text import blocks_of
+
+    texts = lambda page: [b.text for b in blocks_of(page)]
+    assert texts("<p data=it's>Hello don't</p><p>Second para isn't lost</p>") == ["Hello don't", "Second para isn't lost"]
+    assert texts("<p title=\"a > b\" class = 'c>d'>One</p><p title=\"open>Two</p><p>Three</p>") == ["One", "Two", "Three"]
+    assert texts("<p a\"b>One</p><p>\"Two\"</p>") == ["One", '"Two"']
