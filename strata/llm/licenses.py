@@ -61,19 +61,21 @@ def _plain_words(text: str) -> list[str]:
 
 def words(text: Column) -> Column:
     """Lower-case words of a-z and digits; points stay inside versions."""
-    t = F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z0-9.]+", " "), r"\.+( |$)", " ")
-    return F.filter(F.split(t, " "), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), r"[^a-z0-9.]+|\.+(?![a-z0-9.])"), "")
 
 
-def _weights(files: DataFrame, templates) -> tuple[dict[str, float], int]:
-    """The inverse document frequency of each word of the templates, and the number of files."""
+def _frequencies(files: DataFrame) -> DataFrame:
+    """(word, files): in how many files each word stands."""
+    # explode_outer: below explode Spark infers a filter that would take every text apart again
+    held = files.select(F.explode_outer(F.array_distinct(words(F.coalesce("text", F.lit(""))))).alias("word"))
+    return held.where(F.col("word").isNotNull()).groupBy("word").agg(F.count("*").alias("files"))
+
+
+def _weights(counts: DataFrame, n: int, templates) -> dict[str, float]:
+    """The inverse document frequency of each word of the templates among ``n`` files."""
     vocabulary = sorted({w for _, t in templates for w in _plain_words(t)})
-    held = files.select(F.array_intersect(words(F.coalesce("text", F.lit(""))), F.array(*map(F.lit, vocabulary))).alias("held"))
-    # one row for each word of the templates at most, and one for the number of files
-    rows = held.select(F.explode(F.array_union("held", F.array(F.lit("")))).alias("word")).groupBy("word").count().collect()
-    count = {r["word"]: r["count"] for r in rows}
-    n = count.get("", 0)
-    return {w: math.log((n + 1) / (count.get(w, 0) + 1)) + 1 for w in vocabulary}, n
+    count = {r["word"]: r["files"] for r in counts.where(F.col("word").isin(vocabulary)).collect()}  # a row for each word of the templates at most
+    return {w: math.log((n + 1) / (count.get(w, 0) + 1)) + 1 for w in vocabulary}
 
 
 def vectors(templates, weight: dict[str, float]) -> list[dict[str, float]]:
@@ -107,19 +109,21 @@ def declared(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD
     """
     spark = files.sparkSession
     scratch = Scratch(spark)
-    weight, n = _weights(files, templates)
+    counts, n = scratch.keep(_frequencies(files)), files.count()
+    weight = _weights(counts, n, templates)
     vs = vectors(templates, weight)
-    needed = rf"(^| )({'|'.join(re.escape(w) for w in heavy(vs, threshold))})( |\.|$)"
-    lines = files.select("path", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("line", "content")).distinct()
-    lines = lines.where(F.regexp_replace(F.lower("content"), r"[^a-z0-9.]+", " ").rlike(needed))
+    # lets through at least what has such a word: first whole texts, then lines
+    needed = rf"(?<![a-z0-9])(?:{'|'.join(re.escape(w) for w in heavy(vs, threshold))})(?![a-z0-9])"
+    lines = files.where(F.lower("text").rlike(needed))
+    lines = lines.select("path", F.xxhash64("text").alias("text_hash"), F.posexplode_outer(F.split("text", "\n")).alias("line", "content"))
+    lines = lines.where(F.lower("content").rlike(needed)).distinct()
     of = ["path", "text_hash", "line"]
-    found = lines.select(*of, F.explode(words(F.col("content"))).alias("word")).groupBy(*of, "word").agg(F.count("*").alias("tf"))
+    found = lines.select(*of, F.explode_outer(words(F.col("content"))).alias("word")).where(F.col("word").isNotNull()).groupBy(*of, "word").agg(F.count("*").alias("tf"))
     found = scratch.keep(found)
     met = scratch.keep(found.select("word").distinct())
     small = met.count() <= BROADCAST_ROWS
     sent = lambda df: F.broadcast(df) if small else df
-    held = files.select(F.explode(F.array_distinct(words(F.coalesce("text", F.lit(""))))).alias("word"))
-    counts = scratch.keep(held.join(sent(met), "word", "left_semi").groupBy("word").agg(F.count("*").alias("files")))
+    counts = counts.join(sent(met), "word", "left_semi")
     idf = sent(counts.select("word", (F.log((F.lit(n) + 1) / (F.col("files") + 1)) + 1).alias("idf")))
     dims = F.broadcast(spark.createDataFrame([(w, k, x) for k, v in enumerate(vs) for w, x in v.items()], "word string, template int, part double"))
     names = F.broadcast(spark.createDataFrame([(k, name) for k, (name, _) in enumerate(templates)], "template int, license string"))
