@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import gc
 import tempfile
 import uuid
 
@@ -91,6 +90,18 @@ def delete(path: str) -> None:
         files.delete_dir(at)
 
 
+@contextlib.contextmanager
+def _shuffles_going(spark: SparkSession):
+    """Inside, Spark removes what a query shuffled once the query ends: a table that has been written needs it no more."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 class Scratch:
     """Tables written below spark.checkpoint.dir: they cut lineage, are compressed and outlive lost executors.
 
@@ -116,9 +127,6 @@ class Scratch:
     def keep(self, df: DataFrame) -> DataFrame:
         path = self.last = f"{self.root}/{self.made}"
         self.made += 1
-        df.write.parquet(path)
-        # what the write shuffled is of no more use; Spark's cleaner removes it once the driver has collected its garbage
-        for _ in range(2):
-            gc.collect()
-            self.spark.sparkContext._jvm.System.gc()
+        with _shuffles_going(self.spark):
+            df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
