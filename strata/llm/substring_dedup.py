@@ -42,6 +42,8 @@ from .tokens import texts_of
 WINDOW = 20
 #: Words of an anchor.
 ANCHOR = 6
+#: Shares that the copies of one text are dealt to, at least; they grow with the blocks.
+LEAST_SHARES = 64
 #: Stands for the id of a document without one; sorts before all others.
 NO_ID = -(2**63)
 
@@ -247,8 +249,12 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, anchor: int = ANC
     found = docs.mapInArrow(_anchor_rows(window, anchor), "block int, a long, n int")
     often = found.withColumn("all", F.sum("n").over(Window.partitionBy("a"))).where("all > 1").select("block", "a").distinct()
     summary = docs.mapInArrow(_summary_rows(window), "doc_id long, sha binary")
-    firsts = summary.groupBy("sha").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.count("doc_id").alias("m")).where("n > 1 and n = m").select("sha", "least")
-    copies = summary.join(firsts, "sha").where("doc_id > least").select(block_of(F.col("doc_id"), blocks).alias("block"), F.col("doc_id").alias("a"), F.xxhash64("sha").alias("h")).distinct()
+    # a text that very many documents share is dealt to shares by the documents' ids; only a row per share meets at the text
+    summary = summary.withColumn("share", block_of(F.col("doc_id"), LEAST_SHARES + blocks // LEAST_SHARES))
+    shares = summary.groupBy("sha", "share").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.count("doc_id").alias("m"))
+    text = Window.partitionBy("sha")
+    firsts = shares.select("sha", "share", *[f(c).over(text).alias(c) for f, c in ((F.min, "least"), (F.sum, "n"), (F.sum, "m"))]).where("n > 1 and n = m").select("sha", "share", "least")
+    copies = summary.join(firsts, ["sha", "share"]).where("doc_id > least").select(block_of(F.col("doc_id"), blocks).alias("block"), F.col("doc_id").alias("a"), F.xxhash64("sha").alias("h")).distinct()
     note = lambda df, kind, h=F.lit(None): df.select("block", F.lit(kind).alias("kind"), "a", F.lit(None).cast("long").alias("at"), h.cast("long").alias("h"), F.lit(None).cast("boolean").alias("dup"))
     notes = scratch.keep(note(often, _ANCHOR).unionByName(note(copies, _COPY, F.col("h"))))
 

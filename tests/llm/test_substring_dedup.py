@@ -85,3 +85,10 @@ def test_a_copy_and_another_text_share_an_id(spark):
     got = sorted((r.doc_id, r.n_removed, r.kept_sha256) for r in remove_repeats(docs).collect())
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
     assert got == sorted([(1, 0, sha(a)), (2, 30, sha("")), (2, 0, sha(b))])
+
+
+def test_many_copies_of_a_text(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(25)) for x in "ab")
+    rows = [(i, a if i % 3 else b) for i in range(7, 400)] + [(3, f"{a} {b}"), (None, "z " * 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert rows_of(remove_repeats(docs)) == brute(rows, 20)
