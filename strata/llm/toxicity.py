@@ -8,9 +8,10 @@ under a character trigram model and the channel.  Words and restored words are
 scored by letter n-grams that mark toxic documents, and a logistic model of the
 highest word scores gives the document's score.
 
-Everything is fitted on at most ``SAMPLE_ROWS`` labelled rows outside the
-held-out fold, those with the smallest hashes of their ids, in one task; the
-model's size follows that bound, so it is sent to all tasks.
+Everything is fitted on all labelled rows outside the held-out fold: words and
+n-grams are counted by tasks and summed by Spark, and the logistic layer takes
+Newton steps whose sums Spark forms.  Only the model leaves the tasks, n-grams
+that mark toxic texts and letter trigrams; it is sent to all tasks.
 """
 
 from __future__ import annotations
@@ -28,15 +29,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytewords as bw
-from .common import remainder, smallest, table
+from .common import Scratch, delete, remainder, table
 from .tokens import texts_of
 
-#: Most labelled rows that the classifier is fitted on.
-SAMPLE_ROWS = 6_000
 #: Score from which a document counts as toxic.
 THRESHOLD = 0.7
 #: Word scores that one task keeps.
 CACHE = 200_000
+#: Keys whose counts a task of the fit keeps before it hands them on to be summed.
+COUNTED = 200_000
 #: Characters of a token that are restored at once.
 PIECE = 48
 
@@ -203,42 +204,68 @@ def _weights(bad: dict[str, list[int]], every: dict[str, list[int]], sides: tupl
     return out
 
 
+def _trigrams(word: str) -> list[str]:
+    w = f"^^{word}$"
+    return [w[k - 2 : k + 1] for k in range(2, len(w))]
+
+
+def _log_probabilities(tri: dict[str, int]) -> dict[str, float]:
+    two = Counter()
+    for g, n in tri.items():
+        two[g[:2]] += n
+    return {g: math.log((n + 0.1) / (two[g[:2]] + 4.0)) for g, n in tri.items()}
+
+
 def _characters(texts: list[set[str]]) -> dict[str, float]:
     """Log probabilities of character trigrams."""
-    words = Counter(w for t in texts for w in t if w.isalpha())
-    tri, two = Counter(), Counter()
-    for word, n in words.items():
-        w = f"^^{word}$"
-        for k in range(2, len(w)):
-            tri[w[k - 2 : k + 1]] += n
-            two[w[k - 2 : k]] += n
-    return {g: math.log((n + 0.1) / (two[g[:2]] + 4.0)) for g, n in tri.items()}
+    tri = Counter()
+    for word, n in Counter(w for t in texts for w in t if w.isalpha()).items():
+        for g in _trigrams(word):
+            tri[g] += n
+    return _log_probabilities(tri)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> tuple[float, ...]:
-    """Weights of a ridge-regularised logistic regression, by Newton's method."""
-    x = np.c_[np.ones(len(x)), x]
-    w = np.zeros(x.shape[1])
-    keep = np.r_[0.0, np.full(x.shape[1] - 1, ridge)] + 1e-9
+def _newton(sums, size: int, ridge: float = 0.3) -> tuple[float, ...]:
+    """Weights of a ridge-regularised logistic regression; ``sums`` gives the likelihood's gradient and information at weights."""
+    w = np.zeros(size)
+    keep = np.r_[0.0, np.full(size - 1, ridge)] + 1e-9
     for _ in range(40):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(keep + 1e-6), x.T @ (y - p) - keep * w)
+        gradient, information = sums(w)
+        step = np.linalg.solve(information + np.diag(keep + 1e-6), gradient - keep * w)
         w += step
         if np.abs(step).max() < 1e-6:
             break
     return tuple(w.tolist())
 
 
+def _sums(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    return x.T @ (y - p), (x * (p * (1 - p))[:, None]).T @ x
+
+
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
+    x = np.c_[np.ones(len(x)), x]
+    return _newton(lambda w: _sums(x, y, w), x.shape[1])
+
+
+def _words(text: str | None) -> set[str]:
+    return {x for w in (text or "").lower().split() if (x := w.strip(_EDGE))}
+
+
+def _side(text: str | None) -> int:
+    return zlib.crc32((text or "").encode()) >> 7 & 1
+
+
 def fit(texts: list[str | None], toxic: list[int]) -> Model:
     """A model of labelled texts. With no rows, or rows of one label only, no text scores as toxic."""
     y = np.array(toxic, int)
     if len(y) == 0 or y.min() == y.max():
         return Model(layer=(-4.0, 0.0, 0.0, 0.0, 0.0))
     one: dict[str, str] = {}  # equal words are one object: most words stand in many texts
-    words = [{one.setdefault(x, x) for w in (t or "").lower().split() if (x := w.strip(_EDGE))} for t in texts]
+    words = [{one.setdefault(x, x) for x in _words(t)} for t in texts]
     del one
     trigrams = _characters(words)
-    side = [zlib.crc32((t or "").encode()) >> 7 & 1 for t in texts]
+    side = [_side(t) for t in texts]
     bad, every = _gram_counts(words, y, side)
 
     def weights(*sides: int) -> dict[str, float]:
@@ -254,28 +281,146 @@ def fit(texts: list[str | None], toxic: list[int]) -> Model:
     return Model(weights(0, 1), trigrams, _logistic(np.array(rows), np.array(labels)))
 
 
-def _fitted_rows(batches):
-    """The model of all rows, pickled."""
-    texts, toxic = [], []
-    for batch in batches:
-        texts += batch.column("text").to_pylist()
-        toxic += batch.column("toxic").to_pylist()
-    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, toxic))], pa.binary())], names=["model"])
+#: Counts of a key: in texts of side 0 and 1 that are not toxic, and of side 0 and 1 that are.
+_COUNTS = ("n0", "n1", "t0", "t1")
+_COUNT_ROWS = "key string, " + ", ".join(f"{c} long" for c in _COUNTS)
+
+
+def _summed(rows: DataFrame, keys) -> DataFrame:
+    """Counts of keys over all rows; ``keys`` gives, for a batch, (key, the four counts) as often as it likes. Tasks sum what they can hold."""
+
+    def of_batches(batches):
+        held: dict[str, list[int]] = {}
+
+        def out():
+            columns = [pa.array(list(held), pa.string()), *[pa.array([c[k] for c in held.values()], pa.int64()) for k in range(4)]]
+            held.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["key", *_COUNTS])
+
+        for batch in batches:
+            for key, counts in keys(batch):
+                c = held.setdefault(key, [0, 0, 0, 0])
+                for k in range(4):
+                    c[k] += counts[k]
+                if len(held) >= COUNTED:
+                    yield out()
+        if held:
+            yield out()
+
+    return rows.mapInArrow(bw.giving_back(of_batches), _COUNT_ROWS).groupBy("key").agg(*[F.sum(c).alias(c) for c in _COUNTS])
+
+
+def _word_keys(batch):
+    for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+        own = [0, 0, 0, 0]
+        own[2 * int(toxic) + _side(text)] = 1
+        for word in _words(text):
+            yield word, own
+
+
+def _counted(batch):
+    return zip(batch.column("key").to_pylist(), zip(*[batch.column(c).to_pylist() for c in _COUNTS]))
+
+
+def _gram_keys(batch):
+    for word, counts in _counted(batch):
+        for g in grams(word):
+            yield g, counts
+
+
+def _trigram_keys(batch):
+    for word, counts in _counted(batch):
+        if word.isalpha():
+            for g in _trigrams(word):
+                yield g, counts
+
+
+def _models(total: list[int]):
+    """A function of all n-grams' and trigrams' counts: the weights by either side and by both, and the trigrams, pickled. total: the four counts of all words."""
+
+    def of_batches(batches):
+        bad: dict[str, list[int]] = {}
+        every: dict[str, list[int]] = {}
+        tri: dict[str, int] = {}
+        for batch in batches:
+            for is_gram, (key, c) in zip(batch.column("is_gram").to_pylist(), _counted(batch)):
+                if is_gram:
+                    bad[key], every[key] = [c[2], c[3]], [c[0] + c[2], c[1] + c[3]]
+                else:
+                    tri[key] = sum(c)
+
+        def weights(*sides: int) -> dict[str, float]:
+            toxic = sum(total[2 + s] for s in sides)
+            return _weights(bad, every, sides, toxic / max(toxic + sum(total[s] for s in sides), 1))
+
+        made = pickle.dumps((weights(0), weights(1), weights(0, 1), _log_probabilities(tri)))
+        yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], names=["model"])
+
+    return of_batches
+
+
+def _layer_rows(pickled: bytes):
+    """A function of batches of labelled texts: the features of each under the model that has not seen its side."""
+
+    def of_batches(batches):
+        first, second, _, trigrams = pickle.loads(pickled)
+        unseen = Model(second, trigrams), Model(first, trigrams)
+        for batch in batches:
+            texts = texts_of(batch.column("text"))
+            x = [unseen[_side(t)].features(t) for t in texts]
+            columns = [pa.array([r[k] for r in x], pa.float64()) for k in range(4)]
+            yield pa.RecordBatch.from_arrays([*columns, batch.column("toxic").cast(pa.float64())], names=["x0", "x1", "x2", "x3", "y"])
+
+    return of_batches
+
+
+def _layer(rows: DataFrame) -> tuple[float, ...]:
+    """The logistic layer of rows (x0 to x3, y): each Newton step is one pass, which returns its sums."""
+
+    def sums(w):
+        def of_batches(batches):
+            gradient, information = np.zeros(5), np.zeros((5, 5))
+            for batch in batches:
+                x = np.c_[np.ones(batch.num_rows), *[batch.column(f"x{k}").to_numpy() for k in range(4)]]
+                g, i = _sums(x, batch.column("y").to_numpy(), w)
+                gradient, information = gradient + g, information + i
+            yield pa.RecordBatch.from_arrays([pa.array(range(30), pa.int32()), pa.array([*gradient, *information.ravel()], pa.float64())], names=["k", "v"])
+
+        found = rows.mapInArrow(of_batches, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
+        v = np.zeros(30)
+        for r in found:
+            v[r.k] = r.v
+        return v[:5], v[5:].reshape(5, 5)
+
+    return _newton(sums, 5)
 
 
-def train(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> bytes:
-    """A pickled model of labelled rows outside the held-out fold, fitted in one task: the driver sees no text.
+def train(documents: DataFrame, labels: DataFrame) -> bytes:
+    """A pickled model of all labelled rows outside the held-out fold, as ``fit`` gives it, but by tasks: the driver sees no text.
 
     Null labels and null ids are left out; a document with several labels takes
     the highest, and rows that share an id take its label.  Without rows, or
     with rows of one label only, no text scores as toxic.
     """
     chosen = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), 3) != 1))
-    chosen = smallest(chosen.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), F.xxhash64("doc_id"), sample_rows, "doc_id")
-    # at most sample_rows pairs of two numbers: bounded, so broadcast
-    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(sample_rows).select("text", F.col("toxic").cast("int").alias("toxic"))
-    found = rows.coalesce(1).mapInArrow(bw.giving_back(_fitted_rows), "model binary").first()
-    return bytes(found.model) if found else pickle.dumps(fit([], []))
+    chosen = chosen.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    scratch = Scratch(documents.sparkSession)
+    try:
+        rows = scratch.keep(documents.select("doc_id", "text").join(chosen, "doc_id").select("text", "toxic"))
+        kinds = rows.agg(F.min("toxic").alias("a"), F.max("toxic").alias("b")).first()
+        if kinds.a is None or kinds.a == kinds.b:
+            return pickle.dumps(fit([], []))
+        words = scratch.keep(_summed(rows, _word_keys))
+        total = [int(n or 0) for n in words.agg(*[F.sum(c) for c in _COUNTS]).first()]
+        found = _summed(words, _gram_keys).where("t0 + t1 > 0").withColumn("is_gram", F.lit(True))
+        found = scratch.keep(found.unionByName(_summed(words, _trigram_keys).withColumn("is_gram", F.lit(False))))
+        made = found.coalesce(1).mapInArrow(bw.giving_back(_models(total)), "model binary").first()
+        pickled = bytes(made.model) if made else pickle.dumps(({}, {}, {}, {}))
+        layer = _layer(scratch.keep(rows.mapInArrow(bw.giving_back(_layer_rows(pickled)), "x0 double, x1 double, x2 double, x3 double, y double")))
+    finally:
+        delete(scratch.root)
+    *_, weights, trigrams = pickle.loads(pickled)
+    return pickle.dumps(Model(weights, trigrams, layer))
 
 
 _loaded: dict[int, Model] = {}
@@ -303,9 +448,9 @@ def scorer(pickled: bytes):
     return score
 
 
-def with_score(documents: DataFrame, labels: DataFrame, text: Column | None = None, sample_rows: int = SAMPLE_ROWS) -> Column:
+def with_score(documents: DataFrame, labels: DataFrame, text: Column | None = None) -> Column:
     """The score column for ``documents``; the model is fitted when this is called."""
-    return scorer(train(documents, labels, sample_rows))(F.col("text") if text is None else text)
+    return scorer(train(documents, labels))(F.col("text") if text is None else text)
 
 
 def score_documents(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -1,8 +1,9 @@
+import pickle
 import zlib
 
 import pytest
 
-from strata.llm.toxicity import fit, op8_toxicity, score_documents
+from strata.llm.toxicity import fit, op8_toxicity, score_documents, train
 
 
 @pytest.fixture(scope="module")
@@ -55,3 +56,13 @@ def test_long_runs_and_tokens(model):
         assert model.score(text) >= 0.7, text
     for text in (" ".join("theoldmillbytheriver" * 12), "the.old.mill.by.the.river.past.the.bridge.and.the.trees", "a" * 100_000, "-" * 100_000):
         assert model.score(text) < 0.3, text[:80]
+
+
+def test_learns_from_all_labelled_rows(spark):
+    own = [k for k in range(12_000) if zlib.crc32(str(k).encode()) % 3 != 1]
+    texts = {k: f"the {'rotten' if k % 5 == 0 else 'old'} mill number w{k % 97} z{k % 7} by{'' if k % 11 else ' rotten'}" for k in own}
+    documents = spark.createDataFrame([(k, texts[k]) for k in own], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 5 == 0)) for k in own], "doc_id long, toxic int")
+    got, want = pickle.loads(train(documents, labels)), fit([texts[k] for k in own], [int(k % 5 == 0) for k in own])
+    assert len(own) > 7_000 and got.weights == pytest.approx(want.weights) and got.trigrams == pytest.approx(want.trigrams)
+    assert got.layer == pytest.approx(want.layer, rel=1e-6)
