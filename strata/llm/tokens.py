@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterable
 
 #: Strings that a table holds before it starts anew.
 CACHE = 250_000
@@ -17,13 +18,13 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def slices(texts: list[str | None]):
-    """Runs of texts of about SLICE_CHARS characters; a longer text is a run of its own. Null texts are empty."""
+def slices(texts: Iterable[str | None], chars: int = SLICE_CHARS):
+    """Runs of texts of about ``chars`` characters; a longer text is a run of its own. Null texts are empty."""
     run, size = [], 0
     for t in texts:
         run.append(t or "")
         size += len(run[-1])
-        if size >= SLICE_CHARS:
+        if size >= chars:
             yield run
             run, size = [], 0
     if run:

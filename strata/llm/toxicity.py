@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import bytewords as bw
 from .common import Scratch, delete, remainder, table
-from .tokens import texts_of
+from .tokens import slices, texts_of
 
 #: Score from which a document counts as toxic.
 THRESHOLD = 0.7
@@ -40,6 +40,10 @@ CACHE = 200_000
 COUNTED = 200_000
 #: Characters of a token that are restored at once.
 PIECE = 48
+#: Characters of texts, and of new tokens, that are looked at together.
+TOGETHER = 1 << 20
+#: Labels up to which they are sent to all tasks to meet the documents; beyond, the join shuffles.
+BROADCAST_ROWS = 400_000
 
 # Characters and the letters that they imitate.
 IMITATES = {
@@ -58,6 +62,8 @@ _MARKS = ".,;:?\"'()[]{}>«»„“”‘’¿"
 _STRETCHED = re.compile(r"([^\W\d_])\1{3,}")
 _LONG_PARTING = re.compile(r"([._'/\\~^`,:;-])[._'/\\~^`,:;-]+|(?<=(\*))\*{4,}")
 _GRAMS = (4, 5)
+#: What ``_SUSPECT`` asks of a token: one of the first, or one of the second before its end, or a letter three times.
+_ALONE, _BEFORE = "0123456789@$!|+(<€£¡", "._*#'/\\~^`:-"
 
 
 def _pieces(token: str) -> list[str]:
@@ -67,6 +73,58 @@ def _pieces(token: str) -> list[str]:
     return [token[k : k + PIECE] for k in range(0, max(len(token) - PIECE // 2, 1), PIECE // 2)]
 
 
+def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of words or texts, parted and followed by line ends, and where each starts."""
+    joined = "\n".join(words) + "\n" * max(_GRAMS)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    return np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4"), np.r_[0, ends[:-1]]
+
+
+def _flags(chars: str) -> np.ndarray:
+    """By code point, whether it is one of ``chars``; the last place stands for all beyond."""
+    out = np.zeros(max(map(ord, chars)) + 2, bool)
+    out[[ord(c) for c in chars]] = True
+    return out
+
+
+_IS_ALONE, _IS_BEFORE, _IS_PARTING = _flags(_ALONE), _flags(_BEFORE), _flags(" ._*/\\-")
+_IS_SPACE = _flags("".join(c for c in map(chr, range(0x3001)) if c.isspace()))
+
+
+def _is_one(codes: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    return flags[np.minimum(codes, len(flags) - 1)]
+
+
+def _may_part(texts: list[str]) -> set[int]:
+    """The places of the texts in which ``_PARTED`` can find something; all in which it does are among them."""
+    codes, starts = _codes(texts)
+    codes = np.r_[np.uint32(10), codes]  # what stands before and behind a text counts as white space
+    space, blank = _is_one(codes, _IS_SPACE), codes == 32
+    spaced = np.flatnonzero(space[:-6] & blank[2:-4] & blank[4:-2] & space[6:])  # three characters, a blank between each
+    at = np.flatnonzero(~_is_one(codes, _IS_PARTING))
+    apart = np.diff(at) > 1
+    parted = at[:-2][apart[:-1] & apart[1:] & space[at[:-2] - 1]] - 1  # two that start and stand alone between what parts them
+    return set((np.searchsorted(starts, np.r_[spaced, parted], "right") - 1).tolist())
+
+
+def _may_hide(tokens: list[str]) -> np.ndarray:
+    """Whether each token can have a piece that ``_SUSPECT`` finds; all that do are among them."""
+    codes, starts = _codes(tokens)
+    hides = _is_one(codes, _IS_ALONE)
+    hides[:-1] |= _is_one(codes[:-1], _IS_BEFORE) & (codes[1:] != 10)
+    hides[:-2] |= (codes[:-2] == codes[1:-1]) & (codes[1:-1] == codes[2:])
+    return np.logical_or.reduceat(hides, starts) | (np.fromiter(map(len, tokens), np.int64, len(tokens)) > PIECE)
+
+
+def _places(codes: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """A hash of ``bits`` bits of the ``n`` characters from each place on."""
+    h = np.zeros(len(codes) - n + 1, np.uint32)
+    for k in range(n):
+        h *= np.uint32(0x9E3779B1)
+        h += codes[k : len(codes) - n + 1 + k]
+    return (h * np.uint32(0x85EBCA6B)) >> np.uint32(32 - bits)
+
+
 def grams(word: str) -> set[str]:
     """The word with its ends marked, and its letter n-grams."""
     w = f"^{word}$"
@@ -84,11 +142,12 @@ class Model:
 
     def __post_init__(self):
         self._cache: dict[str, float] = {}
+        self._filter: tuple[int, dict[int, np.ndarray]] | None = None
         known = [self.unseen, 0.0, *self.trigrams.values()]
         self._margin = 2 * (max(known) - min(known)) + 8.0
 
     def __getstate__(self):
-        return self.__dict__ | {"_cache": {}}
+        return self.__dict__ | {"_cache": {}, "_filter": None}
 
     # -- the noisy channel ------------------------------------------------
     def restore(self, token: str) -> str:
@@ -133,40 +192,76 @@ class Model:
     def of_word(self, word: str) -> float:
         return max(map(self.weights.get, grams(word) & self.weights.keys()), default=0.0) if word else 0.0
 
-    def of_token(self, token: str) -> float:
-        found = self._cache.get(token)
-        if found is None:
-            core = token.strip(_EDGE)
-            found = self.of_word(core)
-            for piece in _pieces(token):
-                if _SUSPECT.search(piece):
-                    for shape in {piece.strip(_EDGE), _RUNS.sub("", piece).strip(_MARKS)}:
-                        if _SUSPECT.search(shape):
-                            found = max(found, self.of_word(self.restore(shape)))
-            if len(self._cache) >= CACHE:
-                self._cache.clear()
-            self._cache[token] = found
+    def _filters(self) -> tuple[int, dict[int, np.ndarray]]:
+        """Bits of a hash, and for each length of n-grams which hashes those with weights have."""
+        if self._filter is None:
+            own = {n: [g for g in self.weights if len(g) == n] for n in _GRAMS}
+            bits = min(25, max(16, (256 * max(map(len, own.values()))).bit_length()))
+            held = {n: np.zeros(1 << bits, bool) for n in _GRAMS}
+            for n, found in own.items():
+                if found:
+                    codes, starts = _codes(found)
+                    held[n][_places(codes, n, bits)[starts]] = True
+            self._filter = bits, held
+        return self._filter
+
+    def of_words(self, words: list[str]) -> list[float]:
+        """``of_word`` of each: a filter tells at once which words have no n-gram with a weight, which are most."""
+        bits, held = self._filters()
+        marked = [f"^{w}$" for w in words]
+        codes, starts = _codes(marked)
+        hits = np.zeros(len(codes), bool)
+        for n in _GRAMS:
+            hits[: len(codes) - n + 1] |= held[n][_places(codes, n, bits)]
+        get, found = self.weights.get, np.logical_or.reduceat(hits, starts).tolist()
+        return [(self.of_word(w) if hit else get(m, 0.0)) if w else 0.0 for w, m, hit in zip(words, marked, found)]
+
+    def _hidden(self, token: str) -> float:
+        """The highest score of the words that are restored from a token."""
+        found = 0.0
+        for piece in _pieces(token):
+            if _SUSPECT.search(piece):
+                for shape in {piece.strip(_EDGE), _RUNS.sub("", piece).strip(_MARKS)}:
+                    if _SUSPECT.search(shape):
+                        found = max(found, self.of_word(self.restore(shape)))
         return found
 
-    def features(self, text: str | None) -> tuple[float, float, float, float]:
-        """The mean of the three highest word scores, their highest, and how many words are marked, in all and in a thousand."""
-        low = (text or "").lower()
-        tokens, cached = set(low.split()), self._cache.get
-        scores = [self.of_token(t) if (c := cached(t)) is None else c for t in tokens]
-        for m in _PARTED.finditer(low):
-            run = m[0]
-            letters = [x for x in re.split(r"[ ._*/\\-]+", run) if x]
-            for k in range(0, len(letters), 32):
-                scores.append(self.of_word(self.restore("".join(letters[k : k + 40]).strip(_EDGE))))
-        if not scores:
-            return 0.0, 0.0, 0.0, 0.0
-        top = sorted(scores, reverse=True)[:3]
-        marked = sum(s > 2.0 for s in scores)
-        return sum(top) / 3, top[0], math.log1p(marked), math.log1p(1000.0 * marked / max(len(tokens), 1))
+    def _meet(self, tokens: set[str]) -> None:
+        """Scores the tokens that are not known yet, as they stand and restored."""
+        new = tokens.difference(self._cache)
+        if len(self._cache) + len(new) > CACHE:
+            self._cache.clear()
+            new = tokens
+        for run in slices(new, TOGETHER) if sum(map(len, new)) > 2 * TOGETHER else [list(new)] if new else []:
+            found = self.of_words([t.strip(_EDGE) for t in run])
+            for k in np.flatnonzero(_may_hide(run)).tolist():
+                found[k] = max(found[k], self._hidden(run[k]))
+            self._cache.update(zip(run, found))
+
+    def features(self, texts: list[str | None]) -> list[tuple[float, float, float, float]]:
+        """For each text the mean of the three highest word scores, their highest, and how many words are marked, in all and in a thousand."""
+        out = []
+        for lows in slices(((t or "").lower() for t in texts), TOGETHER):
+            tokens = [set(low.split()) for low in lows]
+            self._meet(set().union(*tokens))
+            parted = _may_part(lows)
+            for k, (low, own) in enumerate(zip(lows, tokens)):
+                scores = [s for s in map(self._cache.__getitem__, own) if s]
+                for m in _PARTED.finditer(low) if k in parted else ():
+                    letters = [x for x in re.split(r"[ ._*/\\-]+", m[0]) if x]
+                    for j in range(0, len(letters), 32):
+                        scores.append(self.of_word(self.restore("".join(letters[j : j + 40]).strip(_EDGE))))
+                top = sorted(scores, reverse=True)[:3]
+                marked = sum(s > 2.0 for s in scores)
+                out.append((sum(top) / 3, top[0] if top else 0.0, math.log1p(marked), math.log1p(1000.0 * marked / max(len(own), 1))))
+        return out
+
+    def scores(self, texts: list[str | None]) -> list[float]:
+        z = [self.layer[0] + sum(w * x for w, x in zip(self.layer[1:], f)) for f in self.features(texts)]
+        return [1.0 / (1.0 + math.exp(-max(-60.0, min(60.0, v)))) for v in z]
 
     def score(self, text: str | None) -> float:
-        z = self.layer[0] + sum(w * x for w, x in zip(self.layer[1:], self.features(text)))
-        return 1.0 / (1.0 + math.exp(-max(-60.0, min(60.0, z))))
+        return self.scores([text])[0]
 
 
 def _gram_counts(words: list[set[str]], toxic: np.ndarray, side: list[int]) -> tuple[dict[str, list[int]], dict[str, list[int]]]:
@@ -276,7 +371,7 @@ def fit(texts: list[str | None], toxic: list[int]) -> Model:
     for half in (0, 1):  # the layer is fitted on texts that the weights have not seen
         part = Model(weights(1 - half), trigrams)
         rest = [k for k in range(len(y)) if side[k] == half]
-        rows += [part.features(texts[k]) for k in rest]
+        rows += part.features([texts[k] for k in rest])
         labels += y[rest].tolist()
     return Model(weights(0, 1), trigrams, _logistic(np.array(rows), np.array(labels)))
 
@@ -366,10 +461,15 @@ def _layer_rows(pickled: bytes):
         first, second, _, trigrams = pickle.loads(pickled)
         unseen = Model(second, trigrams), Model(first, trigrams)
         for batch in batches:
-            texts = texts_of(batch.column("text"))
-            x = [unseen[_side(t)].features(t) for t in texts]
-            columns = [pa.array([r[k] for r in x], pa.float64()) for k in range(4)]
-            yield pa.RecordBatch.from_arrays([*columns, batch.column("toxic").cast(pa.float64())], names=["x0", "x1", "x2", "x3", "y"])
+            labels = iter(batch.column("toxic").to_pylist())
+            for texts in slices(texts_of(batch.column("text")), TOGETHER):
+                y, side = [next(labels) for _ in texts], [_side(t) for t in texts]
+                x: list[tuple[float, ...]] = [()] * len(texts)
+                for s in (0, 1):
+                    own = [k for k in range(len(texts)) if side[k] == s]
+                    for k, f in zip(own, unseen[s].features([texts[k] for k in own])):
+                        x[k] = f
+                yield pa.RecordBatch.from_arrays([*[pa.array([r[k] for r in x], pa.float64()) for k in range(4)], pa.array(y, pa.float64())], names=["x0", "x1", "x2", "x3", "y"])
 
     return of_batches
 
@@ -406,7 +506,9 @@ def train(documents: DataFrame, labels: DataFrame) -> bytes:
     chosen = chosen.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     scratch = Scratch(documents.sparkSession)
     try:
-        rows = scratch.keep(documents.select("doc_id", "text").join(chosen, "doc_id").select("text", "toxic"))
+        chosen = scratch.keep(chosen)
+        few = chosen.count() <= BROADCAST_ROWS
+        rows = scratch.keep(documents.select("doc_id", "text").join(F.broadcast(chosen) if few else chosen, "doc_id").select("text", "toxic"))
         kinds = rows.agg(F.min("toxic").alias("a"), F.max("toxic").alias("b")).first()
         if kinds.a is None or kinds.a == kinds.b:
             return pickle.dumps(fit([], []))
@@ -441,7 +543,7 @@ def scorer(pickled: bytes):
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
         model = _load(pickled)
-        out = pa.array([model.score(t) for t in texts_of(texts)], pa.float64())
+        out = pa.array([x for run in slices(texts_of(texts), TOGETHER) for x in model.scores(run)], pa.float64())
         bw.give_back()
         return out
 

@@ -1,8 +1,10 @@
 import pickle
+import random
 import zlib
 
 import pytest
 
+from strata.llm import toxicity
 from strata.llm.toxicity import fit, op8_toxicity, score_documents, train
 
 
@@ -66,3 +68,39 @@ def test_learns_from_all_labelled_rows(spark):
     got, want = pickle.loads(train(documents, labels)), fit([texts[k] for k in own], [int(k % 5 == 0) for k in own])
     assert len(own) > 7_000 and got.weights == pytest.approx(want.weights) and got.trigrams == pytest.approx(want.trigrams)
     assert got.layer == pytest.approx(want.layer, rel=1e-6)
+
+
+def test_filters_miss_nothing(model):
+    """Batches are scored as each text is alone, and what the filters let go holds nothing to restore."""
+    r = random.Random(3)
+    texts = ["".join(r.choice("ab1 .-*\n\t$!_/\\'éñ€  ?x") for _ in range(r.randrange(14))) for _ in range(30_000)]
+    texts += [None, "", "you i d i o t", "a m.o-r o n, x", "m-o-r-o-n", "STUPIIIID", "1d10t!", "i" + "-" * 60 + "d.i.o.t", "the old\x1cmill\u3000idiot"]
+    lows = [(t or "").lower() for t in texts]
+    parted = {k for k, t in enumerate(lows) if toxicity._PARTED.search(t)}
+    assert parted and parted <= toxicity._may_part(lows)
+    tokens = sorted({w for t in lows for w in t.split()})
+    hides = dict(zip(tokens, toxicity._may_hide(tokens)))
+    assert all(hides[t] for t in tokens if any(toxicity._SUSPECT.search(p) for p in toxicity._pieces(t)))
+    words = [t.strip(toxicity._EDGE) for t in tokens] + list(model.weights) + [g.strip("^$") for g in model.weights]
+    assert model.of_words(words) == [model.of_word(w) for w in words]
+    assert model.scores(texts) == [model.score(t) for t in texts]
+
+
+def test_texts_stay_where_they_are(spark, monkeypatch):
+    """The labels go to the texts, whatever the size of the documents: no text is shuffled."""
+    plans, keep = [], toxicity.Scratch.keep
+    monkeypatch.setattr(toxicity.Scratch, "keep", lambda self, df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(self, df))
+    documents = spark.createDataFrame([(k, f"the {'rotten' if k % 5 == 0 else 'old'} mill w{k % 7}") for k in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 5 == 0)) for k in range(200)], "doc_id long, toxic int")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables that Spark finds large
+    try:
+        few = train(documents, labels)
+        assert not any("SortMergeJoin" in p for p in plans)
+        monkeypatch.setattr(toxicity, "BROADCAST_ROWS", 10)
+        many = train(documents, labels)
+        assert any("SortMergeJoin" in p for p in plans)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    a, b = pickle.loads(few), pickle.loads(many)
+    assert a.weights == b.weights and a.trigrams == b.trigrams and a.layer == pytest.approx(b.layer)
