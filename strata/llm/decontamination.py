@@ -39,40 +39,59 @@ UNITS = (
 _TYPED, _KNOWN, _PLAIN = 0, 1, 2
 
 _NAME, _NUMBER, _UNIT, _POINT, _START = "\x01", "\x02", "\x03", "\x04", "\x05"
-_NAME_AT = r"(\p{Lu}(?<=[^.!?:…\x20\x09-\x0D][\x20\x09-\x0D].)\p{Ll}[\p{L}\p{N}]*)"
-_START_AT = rf"((?<![\p{{L}}\p{{N}}{_NAME}])\p{{Lu}}\p{{Ll}}[\p{{L}}\p{{N}}]*)"
+# What decides at most places stands first; the look behind comes after it.
+_START_AT = rf"((?=\p{{Lu}}\p{{Ll}})(?<![\p{{L}}\p{{N}}{_NAME}])\p{{Lu}}[\p{{L}}\p{{N}}]*)"
+_NAME_AT = rf"{_START}(?=\p{{Lu}}\p{{Ll}})(?<=[^.!?:…\x20\x09-\x0D][\x20\x09-\x0D]{_START})"
 _POINT_AT = r"(?<=\p{N})[.,:/](?=\p{N})"
 _NUMBER_AT = rf"(\p{{N}}[\p{{N}}{_POINT}]*)"
+_SLOT_AT = rf"(?<![^ ])([{_NAME}-{_UNIT}])[^ ]*"
 
 
-def valued(text: Column) -> Column:
-    """The text's words, lower-cased; each placeholder is its mark and what it stands for, a capitalised word that may start a sentence is marked, too."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), _NAME_AT, f"{_NAME}$1")
-    t = F.lower(F.regexp_replace(t, _START_AT, f"{_START}$1"))
-    words = lambda t: F.regexp_replace(t, rf"[^\p{{L}}\p{{N}}%{_NAME}-{_START}]+", " ")
+def valued(df: DataFrame) -> DataFrame:
+    """Adds valued, the words of ``text``, lower-cased and parted by one blank; each placeholder is its mark and what it stands for, a capitalised word that may start a sentence is marked, too."""
+    t = F.regexp_replace(F.coalesce("text", F.lit("")), _START_AT, f"{_START}$1")
+    df = df.withColumn("t", F.lower(F.regexp_replace(t, _NAME_AT, _NAME)))  # a column of its own, or each use would build it anew
+    t = F.col("t")
+    words = lambda t: F.regexp_replace(t, rf"[^a-z\p{{L}}\p{{N}}%{_NAME}-{_START}]+", " ")
     n = F.regexp_replace(F.regexp_replace(t, _POINT_AT, _POINT), _NUMBER_AT, f" {_NUMBER}$1 ")
     n = F.concat(words(n), F.lit(" "))
     n = F.regexp_replace(n, rf"({_NUMBER}[^ ]* +)({'|'.join(UNITS)}) ", f"$1{_UNIT}$2 ")
     n = F.regexp_replace(n, " +", " ")
-    return _words(F.trim(F.when(t.rlike(r"\p{N}"), n).otherwise(words(t))))  # few texts pay for the steps on numbers
+    return df.withColumn("valued", F.trim(F.when(t.rlike(r"\p{N}"), n).otherwise(words(t)))).drop("t")  # few texts pay for the steps on numbers
 
 
 def _is_slot(w: Column) -> Column:
-    return w.rlike(f"^[{_NAME}-{_UNIT}]")
+    return F.substring(w, 1, 1).isin(_NAME, _NUMBER, _UNIT)
 
 
-def templates(df: DataFrame, v: str) -> DataFrame:
-    """Adds plain (the words alone), template (names inside sentences are placeholders) and known (words that are such names are placeholders where sentences start, too)."""
-    df = df.withColumn("names", F.array_distinct(F.filter(v, lambda w: w.startswith(_NAME))))
-    df = df.withColumn("plain", F.transform(v, lambda w: F.translate(w, _NAME + _NUMBER + _UNIT + _START, "")))
-    df = df.withColumn("template", F.transform(v, lambda w: F.when(_is_slot(w), F.substring(w, 1, 1)).otherwise(F.translate(w, _START, ""))))
+def templates(df: DataFrame) -> DataFrame:
+    """Replaces valued by plain (the words alone), template (names inside sentences are placeholders) and known (words that are such names are placeholders where sentences start, too)."""
+    v = F.col("valued")
+    split = lambda t: F.when(v == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
+    df = df.withColumn("plain", split(F.translate(v, _NAME + _NUMBER + _UNIT + _START, "")))
+    df = df.withColumn("template", F.when(v.rlike(f"[{_NAME}-{_UNIT}]"), split(F.translate(F.regexp_replace(v, _SLOT_AT, "$1"), _START, ""))).otherwise(F.col("plain")))
+    df = df.withColumn("own", F.when(v.contains(_NAME) & v.contains(_START), split(v)))
+    df = df.withColumn("names", F.array_distinct(F.filter("own", lambda w: w.startswith(_NAME))))
     start = lambda w, i: F.when(w.startswith(_START) & F.array_contains("names", F.concat(F.lit(_NAME), F.substring(w, 2, 1 << 30))), F.lit(_NAME)).otherwise(F.get("template", i))
-    known = F.when((F.size("names") > 0) & F.exists(v, lambda w: w.startswith(_START)), F.transform(v, start)).otherwise(F.col("template"))
-    return df.withColumn("known", known).drop("names")
+    known = F.when((F.size("names") > 0) & F.exists("own", lambda w: w.startswith(_START)), F.transform("own", start)).otherwise(F.col("template"))
+    return df.withColumn("known", known).drop("names", "own", "valued")
 
 
-def _hash(words: Column, at: Column, n: int) -> Column:
-    return F.xxhash64(*[F.get(words, at + k) for k in range(n)])
+def _hashed(df: DataFrame, name: str, words: str, n: int, where: Column | None = None) -> DataFrame:
+    """Adds ``name``, the hashes of all windows of ``n`` words of the array ``words``, where asked for; each is made of the hashes of two shorter windows."""
+    one = F.transform(words, lambda w: F.xxhash64(w))
+    df = df.withColumn(f"{name}_1", one if where is None else F.when(where, one)).withColumn(name, F.col(f"{name}_1"))
+
+    def followed(by: str, after: int) -> Column:
+        most = F.greatest(F.least(F.size(name), F.size(by) - after), F.lit(0))
+        return F.zip_with(F.slice(name, 1, most), F.slice(by, after + 1, most), lambda a, b: F.xxhash64(a, b))
+
+    size = 1
+    for bit in bin(n)[3:]:
+        df, size = df.withColumn(name, followed(name, size)), 2 * size
+        if bit == "1":
+            df, size = df.withColumn(name, followed(f"{name}_1", size)), size + 1
+    return df.drop(f"{name}_1")
 
 
 def _starts(words: Column, n: int) -> Column:
@@ -80,19 +99,11 @@ def _starts(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.array().cast("array<int>"))
 
 
-def _around(marks: Column, words: Column, n: int) -> Column:
-    """The starts of the windows that hold one of the places ``marks``."""
-    last = F.size(words) - n
-    near = F.transform(marks, lambda m: F.filter(F.sequence(m - (n - 1), m), lambda i: (i >= 0) & (i <= last)))
-    return F.array_distinct(F.flatten(near))
-
-
-def _hashed(starts: Column, words: Column, n: int) -> Column:
-    return F.transform(starts, lambda i: F.struct(i.alias("place"), _hash(words, i, n).alias("h")))
-
-
-def _words(t: Column) -> Column:
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
+def _placed(hashes: str, other: str | None = None) -> Column:
+    """The windows of an array of hashes, with their places; none for null, and only those that differ from another's at the same place."""
+    all_ = F.transform(hashes, lambda h, i: F.struct(i.alias("place"), h.alias("h")))
+    some = all_ if other is None else F.filter(all_, lambda w: w["h"] != F.get(other, w["place"]))
+    return F.coalesce(some, F.array().cast("array<struct<place:int,h:bigint>>"))
 
 
 def _sent(df: DataFrame, rows: int) -> DataFrame:
@@ -115,28 +126,36 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDO
     """
     scratch = Scratch(documents.sparkSession)
     text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
-    items = templates(benchmark.select("item_id", "text").distinct().select("item_id", F.xxhash64("text").alias("item_hash"), valued(F.col("text")).alias("valued")), "valued")
-    items = scratch.keep(items.drop("valued"))  # read several times below
+    items = templates(valued(benchmark.select("item_id", "text").distinct()).select("item_id", F.xxhash64("text").alias("item_hash"), "valued"))
+    items = scratch.keep(items)  # read several times below
     literal = lambda words, i: F.size(F.filter(F.slice(words, i + 1, window), lambda w: ~_is_slot(w))) >= LITERAL
-    rows = lambda kind, words, ok: F.transform(F.filter(_starts(F.col("plain"), window), ok), lambda i: F.struct(F.lit(kind).alias("kind"), i.alias("at"), _hash(words, i, window).alias("h")))
+    rows = lambda kind, hashes, ok: F.transform(F.filter(_starts(F.col("plain"), window), ok), lambda i: F.struct(F.lit(kind).alias("kind"), i.alias("at"), F.get(hashes, i).alias("h")))
     typed = lambda i: literal("template", i)
     none_type = "array<struct<kind:int,at:int,h:bigint>>"
     none = F.array().cast(none_type)
-    known = F.when(F.col("known") != F.col("template"), rows(_KNOWN, F.col("known"), lambda i: literal("known", i))).otherwise(none)
-    wanted = F.concat(rows(_TYPED, F.col("template"), typed), rows(_TYPED, F.col("plain"), typed), known, rows(_PLAIN, F.col("plain"), lambda i: i >= 0))
+    known = F.when(F.col("known") != F.col("template"), rows(_KNOWN, "of_known", lambda i: literal("known", i))).otherwise(none)
+    wanted = F.concat(rows(_TYPED, "of_template", typed), rows(_TYPED, "of_plain", typed), known, rows(_PLAIN, "of_plain", lambda i: i >= 0))
     few = [r.n for r in items.select(F.size("plain").alias("n")).where(F.col("n").between(1, window - 1)).distinct().collect()]  # fewer than window
+
+    def hashed(df: DataFrame) -> DataFrame:
+        df = _hashed(df, "of_template", "template", window)
+        df = _hashed(df, "of_plain", "plain", window, F.col("plain") != F.col("template"))
+        df = _hashed(df, "of_known", "known", window, F.col("known") != F.col("template"))
+        for k in few:
+            df = _hashed(df, f"of_{k}", "plain", k)
+        return df
+
     whole = F.lit(None)
     for k in few:
-        whole = F.when(F.size("plain") == k, F.array(F.struct(F.lit(_PLAIN).alias("kind"), F.lit(0).alias("at"), _hash(F.col("plain"), F.lit(0), k).alias("h")))).otherwise(whole)
+        whole = F.when(F.size("plain") == k, F.array(F.struct(F.lit(_PLAIN).alias("kind"), F.lit(0).alias("at"), F.get(f"of_{k}", F.lit(0)).alias("h")))).otherwise(whole)
     wanted = F.concat(wanted, F.coalesce(whole.cast(none_type), none))
-    wanted = scratch.keep(items.select("item_id", "item_hash", F.inline(F.array_distinct(wanted))))
+    windows = hashed(items).withColumn("of_plain", F.coalesce("of_plain", "of_template"))
+    wanted = scratch.keep(windows.select("item_id", "item_hash", F.inline(F.array_distinct(wanted))))
     sizes = wanted.groupBy("item_id", "item_hash", "kind").agg(F.countDistinct("at").alias("windows"))
 
-    words = templates(documents.select("doc_id", text_hash.alias("text_hash"), valued(F.col("text")).alias("valued")), "valued")
-    marks = lambda a, b: F.array_compact(F.transform(a, lambda w, i: F.when(w != F.get(b, i), i)))
-    words = words.withColumns({"slots": marks("plain", F.col("template")), "more": marks("known", F.col("template"))}).withColumns({"slots": _around(F.col("slots"), F.col("plain"), window), "more": _around(F.col("more"), F.col("plain"), window)})
-    own = F.concat(_hashed(_starts(F.col("template"), window), F.col("template"), window), _hashed(F.col("slots"), F.col("plain"), window), _hashed(F.col("more"), F.col("known"), window))
-    own = F.concat(own, *[_hashed(_starts(F.col("plain"), k), F.col("plain"), k) for k in few])
+    words = templates(valued(documents.select("doc_id", text_hash.alias("text_hash"), "text")).drop("text"))
+    own = F.concat(_placed("of_template"), _placed("of_plain", "of_template"), _placed("of_known", "of_template"), *[_placed(f"of_{k}") for k in few])
+    words = hashed(words)
     seen = words.select("doc_id", "text_hash", F.inline(own))
     met = seen.join(_sent(wanted, wanted.count()), "h")
     lines = met.groupBy("doc_id", "text_hash", "item_id", "item_hash", "kind", (F.col("place") - F.col("at")).alias("shift")).agg(F.collect_set("at").alias("at"))
@@ -148,7 +167,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDO
     looked = doubtful.select("doc_id", "text_hash").distinct()
     texts = documents.select(F.col("doc_id").alias("id"), text_hash.alias("hash"), "text")
     looked = texts.join(_sent(looked, doubtful.count()), (F.col("hash") == F.col("text_hash")) & F.col("id").eqNullSafe(F.col("doc_id")), "left_semi").dropDuplicates(["id", "hash"])
-    looked = templates(looked.select("id", "hash", valued(F.col("text")).alias("valued")), "valued").select("id", "hash", F.col("plain").alias("own"))
+    looked = templates(valued(looked.select("id", "hash", "text"))).select("id", "hash", F.col("plain").alias("own"))
     a, b = doubtful.alias("a"), slotted.alias("b")
     pairs = a.join(b, (F.col("a.item_hash") == F.col("b.item_hash")) & F.col("a.item_id").eqNullSafe(F.col("b.item_id"))).join(looked, (F.col("hash") == F.col("text_hash")) & F.col("id").eqNullSafe(F.col("doc_id")))
     pairs = pairs.withColumn("marked", F.when(F.col("kind") == _KNOWN, F.col("known")).otherwise(F.col("template")))

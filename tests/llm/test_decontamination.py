@@ -1,5 +1,6 @@
 import pytest
 
+from strata.llm import decontamination
 from strata.llm.decontamination import ORACLE_SQL, flags, op9_decontamination
 from tests.oracle import agree
 
@@ -58,3 +59,29 @@ def test_long_verbatim_run(spark):
     item = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(59)]
     texts = [(1, "x " + " ".join(item[10:30]) + " y"), (2, " ".join(item[10:29]))]
     assert [r[1] for r in run(spark, texts, [(7, " ".join(item))])] == [True, False]
+
+
+def test_windows_are_told_by_their_words(spark):
+    texts = ["", "a", "a b", "a b a b a b a b a b a b", "b a b c a b c a b c d e f", " ".join("abcdefghij"), " ".join("abcdefghij")[2:]]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").selectExpr("filter(split(text, ' '), w -> w <> '') AS w")
+    for n in range(1, 10):
+        words = {}
+        for r in decontamination._hashed(df, "h", "w", n).collect():
+            own = [tuple(r.w[k : k + n]) for k in range(len(r.w) - n + 1)]
+            assert len(own) == len(r.h)
+            for window, h in zip(own, r.h):
+                assert words.setdefault(window, h) == h
+        assert len(set(words.values())) == len(words) > 0
+
+
+def test_words_are_built_once(spark, monkeypatch):
+    """A document's words are replaced and lower-cased once, not anew for each step that reads them."""
+    plans, keep = [], decontamination.Scratch.keep
+    monkeypatch.setattr(decontamination.Scratch, "keep", lambda self, df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(self, df))
+    assert [r[1] for r in run(spark, [(1, ITEM)], [(7, ITEM)])] == [True]
+    assert [p.count("lower(") for p in plans if "lower(" in p] == [1, 1]  # of the items and of the documents
+
+
+def test_capitals_beyond_the_basic_plane(spark):
+    df = spark.createDataFrame([("the 𝐀bc ran . 𝐀bc sat",)], "text string")
+    assert decontamination.valued(df).first().valued == "the \x01𝐀bc ran \x05𝐀bc sat"
